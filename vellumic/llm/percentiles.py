@@ -50,7 +50,7 @@ def counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _ONE = "SELECT DISTINCT ON (eval_id) eval_id, style_category, {m} AS value, '{m}' AS metric FROM sample_evaluations"
-QUERIES = {"p2_percentiles": percentiles, "p2_counts": counts}
+QUERIES = {"p2_day_digests": day_digests, "p2_percentiles": percentiles, "p2_counts": counts}
 SQL = {
     "p2_counts": (
         "SELECT metric, style_category, count(*) AS n_rows, count(*) FILTER (WHERE value IS NULL) AS n_null, count(*) FILTER (WHERE isnan(value)) AS n_nan, count(*) FILTER (WHERE NOT isnan(value) AND value < 0) AS n_negative "

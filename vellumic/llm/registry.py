@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import lookalike, percentiles
+from . import lookalike, ocr_noise, percentiles
 
-MODULES = [percentiles, lookalike]
+MODULES = [percentiles, lookalike, ocr_noise]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
