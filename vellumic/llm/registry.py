@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import lookalike, ocr_noise, percentiles
+from . import lookalike, ocr_noise, percentiles, pii
 
-MODULES = [percentiles, lookalike, ocr_noise]
+MODULES = [percentiles, lookalike, ocr_noise, pii]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
