@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import nested
+from . import evidence, nested, tables
 
-MODULES = [nested]
+MODULES = [evidence, tables, nested]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.found(spark, folder)
+    return evidence.fusion_summary(spark, folder)
