@@ -43,15 +43,20 @@ def is_valid(a: Column) -> Column:
 
 
 def pair_cost(region: Column, block: Column, region_text: Column, block_text: Column, block_order: Column, cfg: AlignConfig = ALIGN) -> Column:
-    """Cost of matching a region with a block; ``impossible`` for boxes that are clearly apart."""
+    """Cost of matching a region with a block; ``impossible`` for boxes that are clearly apart. Texts as by ``cost_text``."""
     overlap = iou(region, block)
     apart = (overlap < cfg.least_iou) & (horizontal_overlap(region, block) < cfg.least_overlap)
     order = F.when(F.coalesce(block_order, F.lit(0)) > 0, F.least(F.lit(1.0), block_order / cfg.order_reach)).otherwise(0.0)
-    text = edit_ratio(*[F.substring(F.coalesce(normalize(t), F.lit("")), 1, cfg.text_chars) for t in (region_text, block_text)])
+    text = edit_ratio(region_text, block_text)
     cost = cfg.w_iou * (1 - overlap) + cfg.w_vertical * F.abs(vertical_center(region) - vertical_center(block)) / 100 + cfg.w_order * order + cfg.w_text * text
     return F.when(apart, F.lit(cfg.impossible)).otherwise(cost)
 
 
+def cost_text(text: Column, cfg: AlignConfig = ALIGN) -> Column:
+    """What the cost compares of a text; made once per region or block, before they are paired."""
+    return F.substring(F.coalesce(normalize(text), F.lit("")), 1, cfg.text_chars)
+
+
 def match_confidence(cost: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - cost)), 4)
 

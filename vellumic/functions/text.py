@@ -72,7 +72,7 @@ def human_size(size: Column) -> Column:
 
 
 def percent(confidence: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f%%", confidence * 100), F.lit("Not provided"))
+    return F.when(confidence.isNull(), "Not provided").otherwise(F.format_string("%.1f%%", confidence * 100))
 
 
 def replace_line(text: Column, expected: Column, by: Column) -> Column:

@@ -21,8 +21,8 @@ PAIR = "doc long, page int, region long, block long, cost double"
 
 def cost_pairs(regions: DataFrame, blocks: DataFrame, cfg: AlignConfig = ALIGN) -> DataFrame:
     """Every region and block of a page with their cost and IoU."""
-    r = regions.select(*PAGE, "region", F.col("box").alias("rbox"), F.col("text").alias("rtext"))
-    b = blocks.select(*PAGE, "block", F.col("box").alias("bbox"), F.col("text").alias("btext"), "reading_order")
+    r = regions.select(*PAGE, "region", F.col("box").alias("rbox"), G.cost_text(F.col("text"), cfg).alias("rtext"))
+    b = blocks.select(*PAGE, "block", F.col("box").alias("bbox"), G.cost_text(F.col("text"), cfg).alias("btext"), "reading_order")
     cost = G.pair_cost(F.col("rbox"), F.col("bbox"), F.col("rtext"), F.col("btext"), F.col("reading_order"), cfg)
     return r.join(b, PAGE).select(*PAGE, "region", "block", cost.alias("cost"), G.iou(F.col("rbox"), F.col("bbox")).alias("iou"))
 
@@ -70,15 +70,23 @@ def greedy(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
 
 def _assign(pairs: DataFrame, cfg: AlignConfig, optimal: bool) -> DataFrame:
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (doc, page), g in pdf.groupby(PAGE, sort=False):
-            rows, cols = sorted(g["region"].unique()), sorted(g["block"].unique())
-            r, c = {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(cols)}
-            cost = np.full((len(rows), len(cols)), cfg.impossible)
-            cost[[r[x] for x in g["region"]], [c[x] for x in g["block"]]] = g["cost"]
-            found = hungarian(cost) if optimal else greedy([(i, j, cost[i, j]) for i in range(len(rows)) for j in range(len(cols))])
-            out += [(doc, page, rows[i], cols[j], cost[i, j]) for i, j in found if cost[i, j] <= cfg.most_cost]
-        return pd.DataFrame(out, columns=["doc", "page", "region", "block", "cost"])
+        page = pdf[PAGE].to_numpy()
+        region, block, cost = (pdf[c].to_numpy() for c in ("region", "block", "cost"))
+        bounds = np.flatnonzero(np.r_[True, (page[1:] != page[:-1]).any(axis=1), True])
+        keep: list[int] = []
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            rows = np.unique(region[lo:hi])
+            if hi - lo == 1 or len(rows) in (1, hi - lo):  # one region, or one block: the cheapest pair
+                best = lo + int(np.argmin(cost[lo:hi]))
+                keep += [best] if cost[best] <= cfg.most_cost else []
+                continue
+            cols = np.unique(block[lo:hi])
+            at = np.full((len(rows), len(cols)), -1)
+            at[np.searchsorted(rows, region[lo:hi]), np.searchsorted(cols, block[lo:hi])] = np.arange(lo, hi)
+            table = np.where(at >= 0, cost[at], cfg.impossible)
+            found = hungarian(table) if optimal else greedy([(i, j, table[i, j]) for i in range(len(rows)) for j in range(len(cols))])
+            keep += [at[i, j] for i, j in found if at[i, j] >= 0 and table[i, j] <= cfg.most_cost]
+        return pdf.iloc[keep][["doc", "page", "region", "block", "cost"]]
 
     return each_batch_of_groups(pairs.select(*PAGE, "region", "block", "cost"), PAGE, ["region", "block"], work, PAIR)
 

@@ -7,6 +7,8 @@ Arrow function. Ties always go by ``ord``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,17 +27,28 @@ def collect(hyps: DataFrame, keys: list[str]) -> DataFrame:
     return last.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("h.ord").cast("int").alias("ord"), "h.model", "h.text", "h.conf"))).alias("hyps"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once; bodies of lambdas have no common subexpressions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _agreement(words: Column, n: Column) -> Column:
     """Class of one position from its words (null: the model has none there)."""
-    said = F.filter(F.transform(words, lambda w: w.word), lambda w: w.isNotNull())
-    kinds = F.array_distinct(said)
-    votes = F.aggregate(kinds, F.lit(0), lambda acc, k: F.greatest(acc, F.size(F.filter(said, lambda w: w == k))))
-    gap = F.size(said) < F.size(words)
-    return (
-        F.when(gap & (F.size(kinds) == 1), "MISSING_TEXT").when(F.size(kinds) == 1, "FULL_AGREEMENT")
-        .when((F.size(kinds) == 2) & (n > 2), F.when(votes >= 2, "MINORITY_DISAGREEMENT").otherwise("FULL_DISAGREEMENT"))
-        .when(F.size(kinds) > 1, "FULL_DISAGREEMENT").otherwise("FULL_AGREEMENT")
-    )
+
+    def of(said: Column) -> Column:
+        gap = F.size(said) < F.size(words)
+
+        def by(kinds: Column) -> Column:
+            votes = F.aggregate(kinds, F.lit(0), lambda acc, k: F.greatest(acc, F.size(F.filter(said, lambda w: w == k))))
+            return (
+                F.when(F.size(kinds) == 1, F.when(gap, "MISSING_TEXT").otherwise("FULL_AGREEMENT"))
+                .when((F.size(kinds) == 2) & (n > 2), F.when(votes >= 2, "MINORITY_DISAGREEMENT").otherwise("FULL_DISAGREEMENT"))
+                .when(F.size(kinds) > 1, "FULL_DISAGREEMENT").otherwise("FULL_AGREEMENT")
+            )
+
+        return let(F.array_distinct(said), by)
+
+    return let(F.filter(F.transform(words, lambda w: w.word), lambda w: w.isNotNull()), of)
 
 
 def lattice(regions: DataFrame) -> DataFrame:
@@ -53,19 +66,22 @@ def lattice(regions: DataFrame) -> DataFrame:
 
     def word_of(s: Column, i: Column, own: Column) -> Column:
         at = F.filter(s.steps, lambda p: (p.pos_a == i) & (p.op != "INSERTION"))
-        step = F.get(at, F.lit(0))
-        return F.struct(s.ord.alias("ord"), s.model.alias("model"), F.when(step.isNull(), own).when(step.op == "SUBSTITUTION", step.item_b).alias("word"))
+        said = let(F.get(at, F.lit(0)), lambda step: F.when(step.isNull(), own).when(step.op == "SUBSTITUTION", step.item_b))
+        return F.struct(s.ord.alias("ord"), s.model.alias("model"), F.when(F.size(s.steps) == 0, own).otherwise(said).alias("word"))
 
-    def at_anchor(own: Column, i: Column) -> Column:
+    def words_at(own: Column, i: Column) -> Column:
         words = F.concat(F.array(F.struct(first["ord"].alias("ord"), first["model"].alias("model"), own.alias("word"))), F.transform("scripts", lambda s: word_of(s, i, own)))
-        level = F.when(n < 2, "SINGLE_MODEL_ONLY").otherwise(_agreement(words, n))
-        return F.struct(i.cast("int").alias("position"), words.alias("words"), level.alias("agreement"), X.is_critical(own).alias("is_critical"))
+        return F.struct(i.cast("int").alias("position"), own.alias("own"), words.alias("words"))
+
+    def rated(p: Column) -> Column:
+        level = F.when(n < 2, "SINGLE_MODEL_ONLY").otherwise(F.when(F.forall("scripts", lambda s: F.size(s.steps) == 0), "FULL_AGREEMENT").otherwise(_agreement(p.words, n)))
+        return F.struct(p.position, p.words, level.alias("agreement"), X.is_critical(p.own).alias("is_critical"))
 
     added = F.flatten(F.transform("scripts", lambda s: F.transform(F.filter(s.steps, lambda p: p.op == "INSERTION"), lambda p: F.struct(s.ord.alias("ord"), s.model.alias("model"), p.item_b.alias("word")))))
     extra = F.transform(
         added, lambda w, i: F.struct((F.size("anchor") + i).cast("int").alias("position"), F.array(w).alias("words"), F.lit("EXTRA_TEXT").alias("agreement"), X.is_critical(w.word).alias("is_critical"))
     )
-    df = df.withColumn("positions", F.concat(F.transform("anchor", at_anchor), extra).cast(f"array<{POSITION}>"))
+    df = df.withColumn("positions", F.concat(F.transform(F.transform("anchor", words_at), rated), extra).cast(f"array<{POSITION}>"))
     levels = F.transform("positions", lambda p: p.agreement)
     worst = F.lit("FULL_AGREEMENT")
     for level in reversed(AGREEMENT[:-1]):
@@ -78,30 +94,35 @@ def _record(kind: str, severity: str | Column, span: Column | None = None) -> Co
     return F.struct(F.lit(kind).alias("type"), severity.alias("severity"), (F.lit(None).cast("string") if span is None else span.cast("string")).alias("span"))
 
 
-def conflict(values: Column) -> tuple[Column, Column]:
-    """Whether texts differ where at least one says something, and the first three side by side."""
-    kinds = F.array_distinct(values)
+def conflict(kinds: Column) -> tuple[Column, Column]:
+    """Whether distinct values differ where at least one says something, and the first three side by side."""
     differ = (F.size(kinds) > 1) & F.exists(kinds, lambda v: v != "")
     return differ, F.array_join(F.slice(F.array_sort(F.transform(kinds, lambda v: F.when(v == "", "(none)").otherwise(v))), 1, 3), " vs ")
 
 
 def detect(regions: DataFrame, cfg: DetectConfig = DETECT) -> DataFrame:
     """Adds ``disagreements`` in the order of the rules. Needs ``positions``; ``iou`` and ``orders`` are optional."""
-    h = F.col("hyps")
-    spoken = F.filter(h, lambda c: ~X.is_blank(c.text))
-    texts = F.transform(spoken, lambda c: c.text)
+    h, spoken = F.col("hyps"), F.col("_spoken")
+    given = regions.columns
+    regions = regions.withColumn("_spoken", F.filter(h, lambda c: ~X.is_blank(c.text)))
+    regions = regions.withColumn("_texts", F.array_distinct(F.transform("_spoken", lambda c: c.text)))
+    # equal texts have equal numbers, dates and units: only regions with several texts are looked at
+    several = F.size("_texts") > 1
+    rules = (("NUMERIC_CONFLICT", X.digits), ("DATE_CONFLICT", X.dates), ("UNIT_CONFLICT", X.units))
+    regions = regions.withColumns({f"_{kind}": F.when(several, F.array_distinct(F.transform("_texts", pick))).otherwise(F.array().cast("array<string>")) for kind, pick in rules})
+    regions = regions.withColumns({"_apart": F.filter("positions", lambda p: ~p.agreement.isin("FULL_AGREEMENT", "SINGLE_MODEL_ONLY"))})
     none = F.array().cast("array<struct<type:string,severity:string,span:string>>")
     low = F.transform(F.filter(h, lambda c: c.conf < cfg.low_confidence), lambda c: _record("LOW_RAW_CONFIDENCE", "MEDIUM", c.model))
     mute = F.transform(F.filter(h, lambda c: X.is_blank(c.text)), lambda c: _record("MODEL_UNAVAILABLE", "HIGH", c.model))
-    apart = F.filter("positions", lambda p: ~p.agreement.isin("FULL_AGREEMENT", "SINGLE_MODEL_ONLY"))
-    gaps = F.filter("positions", lambda p: p.agreement == "MISSING_TEXT")
+    apart = F.col("_apart")
+    gaps = F.filter(apart, lambda p: p.agreement == "MISSING_TEXT")
 
     def when(test: Column, record: Column) -> Column:
         return F.when(F.coalesce(test, F.lit(False)), F.array(record)).otherwise(none)
 
     parts = [mute, low, when(F.size(apart) > 0, _record("MODEL_DISAGREEMENT", F.when(F.exists(apart, lambda p: p.is_critical), "CRITICAL").otherwise("HIGH")))]
-    for kind, pick in (("NUMERIC_CONFLICT", X.digits), ("DATE_CONFLICT", X.dates), ("UNIT_CONFLICT", X.units)):
-        differ, span = conflict(F.transform(texts, pick))
+    for kind, _ in rules:
+        differ, span = conflict(F.col(f"_{kind}"))
         parts.append(when(differ, _record(kind, "CRITICAL", span)))
     parts.append(when(F.size(gaps) > 0, _record("MISSING_TEXT", "HIGH", F.array_join(F.slice(F.transform(gaps, lambda p: F.get(F.filter(F.transform(p.words, lambda w: w.word), lambda w: w.isNotNull()), F.lit(0))), 1, 5), " "))))
     longer = F.flatten(
@@ -114,40 +135,45 @@ def detect(regions: DataFrame, cfg: DetectConfig = DETECT) -> DataFrame:
         both = (F.coalesce("region_order", F.lit(0)) != 0) & (F.coalesce("block_order", F.lit(0)) != 0)
         parts.append(when(both & (F.abs(F.col("region_order") - F.col("block_order")) > cfg.order_gap), _record("READING_ORDER_CONFLICT", "LOW")))
     few = F.concat(F.array(_record("INSUFFICIENT_EVIDENCE", "MEDIUM")), low)
-    return regions.withColumn("disagreements", F.when(F.size(h) < 2, few).otherwise(F.concat(*parts)))
+    return regions.withColumn("disagreements", F.when(F.size(h) < 2, few).otherwise(F.concat(*parts))).select(*given, "disagreements")
 
 
 def majority(words: Column, cfg: SelectConfig = SELECT) -> Column:
     """The word with most votes, ties to the earlier voter; one that only the family says yields to another with an independent vote."""
-    said = F.filter(words, lambda w: w.word.isNotNull())
-    kinds = F.array_distinct(F.transform(said, lambda w: w.word))
-    rated = F.transform(
-        kinds, lambda k: F.struct((-F.size(F.filter(said, lambda w: w.word == k))).alias("votes"), F.array_min(F.transform(F.filter(said, lambda w: w.word == k), lambda w: w.ord)).alias("first"), (~F.exists(said, lambda w: (w.word == k) & ~w.model.isin(*cfg.family))).alias("family"), k.alias("word"))
-    )
-    ranked = F.array_sort(rated)
-    top, free = F.get(ranked, F.lit(0)), F.get(F.filter(ranked, lambda r: ~r.family), F.lit(0))
-    return F.when(top.family & free.isNotNull(), free.word).otherwise(top.word)
+
+    def ranked(said: Column) -> Column:
+        kinds = F.array_distinct(F.transform(said, lambda w: w.word))
+
+        def rate(k: Column) -> Column:
+            return let(
+                F.filter(said, lambda w: w.word == k),
+                lambda own: F.struct((-F.size(own)).alias("votes"), F.array_min(F.transform(own, lambda w: w.ord)).alias("first"), F.forall(own, lambda w: w.model.isin(*cfg.family)).alias("family"), k.alias("word")),
+            )
+
+        return let(F.array_sort(F.transform(kinds, rate)), lambda r: F.coalesce(F.when(F.get(r, F.lit(0)).family, F.get(F.filter(r, lambda x: ~x.family), F.lit(0)).word), F.get(r, F.lit(0)).word))
+
+    return let(F.filter(words, lambda w: w.word.isNotNull()), ranked)
 
 
 def propose(regions: DataFrame, strategy: str = "evidence_aware", cfg: SelectConfig = SELECT) -> DataFrame:
     """Adds proposed_text, auto_proposable, requires_review, indicators and reasons. Never hides a critical conflict."""
     h, d, level = F.col("hyps"), F.col("disagreements"), F.col("overall")
+    given = regions.columns
+    agreed = lambda p: F.get(F.filter(F.transform(p.words, lambda w: w.word), lambda w: w.isNotNull()), F.lit(0))
+    quick = lambda p: F.when(p.agreement.isin("FULL_AGREEMENT", "SINGLE_MODEL_ONLY"), agreed(p)).otherwise(majority(p.words, cfg))
+    regions = regions.withColumn("_voted", F.array_join(F.filter(F.transform("positions", quick), lambda w: w.isNotNull()), " "))
     critical = F.exists(d, lambda r: r.type.isin("NUMERIC_CONFLICT", "DATE_CONFLICT", "UNIT_CONFLICT") | (r.severity == "CRITICAL"))
     split, few = level == "FULL_DISAGREEMENT", F.exists(d, lambda r: r.type == "INSUFFICIENT_EVIDENCE")
     spoken = lambda model: F.filter(h, lambda c: (c.model == model) & ~X.is_blank(c.text))
     best = F.coalesce(*[F.get(spoken(m), F.lit(0))["text"] for m in cfg.reliability], F.get(h, F.lit(0))["text"])
-    voted = F.array_join(F.filter(F.transform("positions", lambda p: majority(p.words, cfg)), lambda w: w.isNotNull()), " ")
-    mixed = F.array_join(
-        F.filter(F.transform("positions", lambda p: F.when(p.agreement == "FULL_AGREEMENT", F.get(F.filter(F.transform(p.words, lambda w: w.word), lambda w: w.isNotNull()), F.lit(0))).otherwise(majority(p.words, cfg))), lambda w: w.isNotNull()), " "
-    )
     safe = ~critical & ~split
     if strategy == "best_individual":
         said, auto = best, safe
     elif strategy == "unweighted_rover":
-        said, auto = F.when(F.size("positions") > 0, voted).otherwise(best), safe
+        said, auto = F.when(F.size("positions") > 0, F.col("_voted")).otherwise(best), safe
     else:  # evidence_aware, evidence_aware_with_recovery, and anything unknown
         whole = level.isin("FULL_AGREEMENT", "SINGLE_MODEL_ONLY")
-        said = F.when(whole, best).when(level == "MINORITY_DISAGREEMENT", mixed).when(critical | split, best)
+        said = F.when(whole, best).when(level == "MINORITY_DISAGREEMENT", F.col("_voted")).when(critical | split, best)
         auto = F.when(whole, ~critical).when(level == "MINORITY_DISAGREEMENT", safe).otherwise(False)
     models = F.array_distinct(F.transform(h, lambda c: c.model))
     has = lambda kind: F.exists(d, lambda r: r.type == kind)
@@ -163,7 +189,7 @@ def propose(regions: DataFrame, strategy: str = "evidence_aware", cfg: SelectCon
             "proposed_text": F.col("_text"), "auto_proposable": F.col("_auto"), "requires_review": ~F.col("_auto") | critical | split | few, "indicators": F.array_compact(F.array(*codes)),
             "reasons": F.array_distinct(F.transform(d, lambda r: r.type)),
         }
-    ).drop("_auto", "_text")
+    ).select(*given, "proposed_text", "auto_proposable", "requires_review", "indicators", "reasons")
 
 
 def recovery_eligible(requires_review: Column, indicators: Column, confidence: Column, attempts: Column, provider: Column, cfg: RecoverConfig = RECOVER) -> Column:
