@@ -52,8 +52,13 @@ def rated(s: SparkSession, d: str) -> DataFrame:
     return E.detect(E.lattice(E.collect(V.readings(s, d), ["doc", "region"])))
 
 
+def _each(df: DataFrame, column: str, into: str) -> DataFrame:
+    """Elements of a computed array; for a plain explode a filter on the array would be inferred, which computes it again."""
+    return df.select("doc", "region", F.explode_outer(column).alias(into)).where(F.col(into).isNotNull())
+
+
 def lattice(s: SparkSession, d: str) -> DataFrame:
-    p = E.lattice(E.collect(V.readings(s, d), ["doc", "region"])).select("doc", "region", F.explode("positions").alias("p"))
+    p = _each(E.lattice(E.collect(V.readings(s, d), ["doc", "region"])), "positions", "p")
     return p.select("doc", "region", F.col("p.position").cast("long").alias("position"), "p.agreement", "p.is_critical", F.array_join(F.transform("p.words", lambda w: F.coalesce(w.word, F.lit("-"))), "|").alias("words"))
 
 
@@ -62,11 +67,11 @@ def overall(s: SparkSession, d: str) -> DataFrame:
 
 
 def detect_all(s: SparkSession, d: str) -> DataFrame:
-    return rated(s, d).select("doc", "region", F.explode("disagreements").alias("r")).groupBy("doc", "region", "r.type", "r.severity").agg(F.count(F.lit(1)).alias("n"))
+    return _each(rated(s, d), "disagreements", "r").groupBy("doc", "region", "r.type", "r.severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def numeric_conflict(s: SparkSession, d: str) -> DataFrame:
-    return rated(s, d).select("doc", "region", F.explode("disagreements").alias("r")).where("r.type = 'NUMERIC_CONFLICT'").select("doc", "region", "r.span")
+    return _each(rated(s, d), "disagreements", "r").where("r.type = 'NUMERIC_CONFLICT'").select("doc", "region", "r.span")
 
 
 def proposals(strategy: str):
@@ -78,7 +83,7 @@ def proposals(strategy: str):
 
 
 def majority_vote(s: SparkSession, d: str) -> DataFrame:
-    p = E.lattice(E.collect(V.readings(s, d), ["doc", "region"])).select("doc", "region", F.explode("positions").alias("p"))
+    p = _each(E.lattice(E.collect(V.readings(s, d), ["doc", "region"])), "positions", "p")
     return p.select("doc", "region", F.col("p.position").cast("long").alias("position"), E.majority(F.col("p.words")).alias("word"))
 
 

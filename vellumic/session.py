@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch for operators that ship whole texts or nested records to Python workers.
 WIDE_BATCH_ROWS = 1000
@@ -31,6 +31,12 @@ def wide_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small input of few files over all cores, for work that is heavy next to its rows; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder that all executors share; a folder of our own only where the cluster names none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
