@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_root, wide_batches
+from ..session import checkpoint_root, spread, wide_batches
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BUCKETS = 4096
@@ -117,7 +117,7 @@ def sized_documents(spark: SparkSession, folder: str, tokenizer: str = TOKENIZER
     wide_batches(spark)
     checkpoint_root(spark)
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source", F.round(quality(F.col("text")), 4).alias("quality"), "text")
-    return token_counts(docs, "text", tokenizer=tokenizer).checkpoint()
+    return token_counts(spread(docs), "text", tokenizer=tokenizer).checkpoint()
 
 
 def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -258,19 +258,19 @@ def _map(df: DataFrame, schema: str, work: Callable[[tuple], Iterable[tuple]]) -
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
     """One row per mention."""
-    from ..session import wide_batches
+    from ..session import spread, wide_batches
 
     wide_batches(spark)
     rows = lambda r: [(r[0], r[1], r[2], s.start, s.end, s.kind) for s in mentions(r[3])]
-    return _map(texts(spark, folder), "field string, record_id string, block_id string, start_pos int, end_pos int, pii_type string", rows).distinct()
+    return _map(spread(texts(spark, folder)), "field string, record_id string, block_id string, start_pos int, end_pos int, pii_type string", rows).distinct()
 
 
 def redact(spark: SparkSession, folder: str) -> DataFrame:
     """Both fields with placeholders for the mentions."""
-    from ..session import wide_batches
+    from ..session import spread, wide_batches
 
     wide_batches(spark)
-    return _map(texts(spark, folder), "field string, record_id string, block_id string, text string", lambda r: [(r[0], r[1], r[2], redacted(r[3]))]).distinct()
+    return _map(spread(texts(spark, folder)), "field string, record_id string, block_id string, text string", lambda r: [(r[0], r[1], r[2], redacted(r[3]))]).distinct()
 
 
 QUERIES = {"p5_found": found, "p5_redacted": redact}

@@ -299,12 +299,12 @@ def classify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
 
 def report(spark: SparkSession, folder: str) -> DataFrame:
-    from ..session import wide_batches
+    from ..session import spread, wide_batches
 
     wide_batches(spark)
     read = lambda t: spark.read.parquet(f"{folder}/{t}.parquet")
     areas = sorted(r[0] for r in read("subject_areas").select("subject_area").collect())
-    docs = read("documents").select("doc_id", "text")
+    docs = spread(read("documents").select("doc_id", "text"))
     return classify(docs, fit(docs, read("subject_labels"), areas))
 
 
