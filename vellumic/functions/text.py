@@ -11,11 +11,13 @@ DATE = r"\b(\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}|\d{4}[/\-.]\d{1,2}[/\-.]\d{1,2})\b
 UNIT_TOKEN = r"(?i)\b(\d+\s?)(mm|cm|m|km|mg|g|kg|ml|l|lb|oz|ft|in|psi|kpa|bar|deg|pc|%)\b"
 UNIT = r"(?i)\b\d+\s?(mm|cm|m|km|mg|g|kg|ml|l|lb|oz|ft|in|psi|kpa|bar|deg|%)\b"
 IDENTIFIER = r"\b([A-Z]{2,}\d+|\d+[A-Z]{2,})\b"
+#: Blanks of any script, as the reference has them; the controls at the end count as blanks there too.
+BLANK = r"[\s\x1c-\x1f]"
 
 
 def normalize(text: Column) -> Column:
     """Small letters, no outer blanks, single blanks."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), r"^\s+|\s+$", ""), r"\s+", " ")
+    return F.regexp_replace(F.regexp_replace(F.lower(text), rf"(?U)^{BLANK}+|{BLANK}+$", ""), rf"(?U){BLANK}+", " ")
 
 
 def tokens(text: Column) -> Column:
@@ -28,7 +30,8 @@ def is_blank(text: Column) -> Column:
 
 def is_critical(word: Column) -> Column:
     """A number, date, quantity or identifier (the latter in capitals, so never in normalized text)."""
-    return F.coalesce(word.rlike(NUMBER) | word.rlike(DATE) | word.rlike(UNIT_TOKEN) | word.rlike(IDENTIFIER), F.lit(False))
+    seen = [word.rlike(f"(?U){p}") for p in (NUMBER, DATE, UNIT_TOKEN, IDENTIFIER)]  # letters and digits of any script, as in the reference
+    return F.coalesce(seen[0] | seen[1] | seen[2] | seen[3], F.lit(False))
 
 
 def digits(text: Column) -> Column:
