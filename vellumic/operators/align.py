@@ -17,6 +17,7 @@ from .grouped import each_batch_of_groups
 
 PAGE = ["doc", "page"]
 PAIR = "doc long, page int, region long, block long, cost double"
+MATCH = "doc long, page int, region long, block long, status string, iou double"
 
 
 def cost_pairs(regions: DataFrame, blocks: DataFrame, cfg: AlignConfig = ALIGN) -> DataFrame:
@@ -68,25 +69,30 @@ def greedy(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
     return out
 
 
+def _chosen(pdf: pd.DataFrame, cfg: AlignConfig, optimal: bool) -> list[int]:
+    """Rows of whole pages, sorted by region and block, that are assigned and cheap enough."""
+    page = pdf[PAGE].to_numpy()
+    region, block, cost = (pdf[c].to_numpy() for c in ("region", "block", "cost"))
+    bounds = np.flatnonzero(np.r_[True, (page[1:] != page[:-1]).any(axis=1), True])
+    keep: list[int] = []
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        rows = np.unique(region[lo:hi])
+        if hi - lo == 1 or len(rows) in (1, hi - lo):  # one region, or one block: the cheapest pair
+            best = lo + int(np.argmin(cost[lo:hi]))
+            keep += [best] if cost[best] <= cfg.most_cost else []
+            continue
+        cols = np.unique(block[lo:hi])
+        at = np.full((len(rows), len(cols)), -1)
+        at[np.searchsorted(rows, region[lo:hi]), np.searchsorted(cols, block[lo:hi])] = np.arange(lo, hi)
+        table = np.where(at >= 0, cost[at], cfg.impossible)
+        found = hungarian(table) if optimal else greedy([(i, j, table[i, j]) for i in range(len(rows)) for j in range(len(cols))])
+        keep += [at[i, j] for i, j in found if at[i, j] >= 0 and table[i, j] <= cfg.most_cost]
+    return keep
+
+
 def _assign(pairs: DataFrame, cfg: AlignConfig, optimal: bool) -> DataFrame:
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        page = pdf[PAGE].to_numpy()
-        region, block, cost = (pdf[c].to_numpy() for c in ("region", "block", "cost"))
-        bounds = np.flatnonzero(np.r_[True, (page[1:] != page[:-1]).any(axis=1), True])
-        keep: list[int] = []
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            rows = np.unique(region[lo:hi])
-            if hi - lo == 1 or len(rows) in (1, hi - lo):  # one region, or one block: the cheapest pair
-                best = lo + int(np.argmin(cost[lo:hi]))
-                keep += [best] if cost[best] <= cfg.most_cost else []
-                continue
-            cols = np.unique(block[lo:hi])
-            at = np.full((len(rows), len(cols)), -1)
-            at[np.searchsorted(rows, region[lo:hi]), np.searchsorted(cols, block[lo:hi])] = np.arange(lo, hi)
-            table = np.where(at >= 0, cost[at], cfg.impossible)
-            found = hungarian(table) if optimal else greedy([(i, j, table[i, j]) for i in range(len(rows)) for j in range(len(cols))])
-            keep += [at[i, j] for i, j in found if at[i, j] >= 0 and table[i, j] <= cfg.most_cost]
-        return pdf.iloc[keep][["doc", "page", "region", "block", "cost"]]
+        return pdf.iloc[_chosen(pdf, cfg, optimal)][["doc", "page", "region", "block", "cost"]]
 
     return each_batch_of_groups(pairs.select(*PAGE, "region", "block", "cost"), PAGE, ["region", "block"], work, PAIR)
 
@@ -108,6 +114,25 @@ def contained(regions: DataFrame, blocks: DataFrame) -> DataFrame:
     return hits.groupBy(*PAGE, "region").agg(F.min("block").alias("block"))
 
 
+def matched(regions: DataFrame, blocks: DataFrame, cfg: AlignConfig = ALIGN) -> DataFrame:
+    """The matched and contained pairs of ``align`` with the IoU of either, from one pass over the pairs of each page."""
+    r = regions.select(*PAGE, "region", F.col("box").alias("rbox"), G.cost_text(F.col("text"), cfg).alias("rtext"))
+    b = blocks.select(*PAGE, "block", F.col("box").alias("bbox"), G.cost_text(F.col("text"), cfg).alias("btext"), "reading_order")
+    cost = G.pair_cost(F.col("rbox"), F.col("bbox"), F.col("rtext"), F.col("btext"), F.col("reading_order"), cfg)
+    inside = F.coalesce(G.contains_center(F.col("bbox"), F.col("rbox")), F.lit(False))
+    pairs = r.join(b, PAGE).select(*PAGE, "region", "block", cost.alias("cost"), G.iou(F.col("rbox"), F.col("bbox")).alias("iou"), inside.alias("inside"))
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = np.array(_chosen(pdf, cfg, True), int)
+        region, block = (pdf.groupby([*PAGE, c], sort=False, dropna=False).ngroup().to_numpy() for c in ("region", "block"))
+        rest = np.flatnonzero(pdf["inside"].to_numpy(bool) & ~np.isin(region, region[one]) & ~np.isin(block, block[one]))
+        many = rest[np.unique(region[rest], return_index=True)[1]]  # the first block that holds a region
+        out = pdf.iloc[np.r_[one, many]]
+        return out.assign(status=np.repeat(["one_to_one", "one_to_many"], [len(one), len(many)]))[["doc", "page", "region", "block", "status", "iou"]]
+
+    return each_batch_of_groups(pairs, PAGE, ["region", "block"], work, MATCH)
+
+
 def align(regions: DataFrame, blocks: DataFrame, cfg: AlignConfig = ALIGN) -> DataFrame:
     """Matched, contained, and what is left on either side."""
     pairs = cost_pairs(regions, blocks, cfg)

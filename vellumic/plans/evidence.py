@@ -88,19 +88,19 @@ def majority_vote(s: SparkSession, d: str) -> DataFrame:
 
 
 def matched_regions(s: SparkSession, d: str) -> DataFrame:
-    return _pairs(s, d).where(F.col("cost") <= 0.85).select("doc", "region").distinct().withColumn("matched", F.lit(True))
+    """Regions of the alignment with their block: one-to-one, then by containment."""
+    return A.matched(V.regions(s, d), V.blocks(s, d)).select("doc", "region", "block")
 
 
 def fusion_summary(s: SparkSession, d: str) -> DataFrame:
-    p = E.propose(rated(s, d)).join(matched_regions(s, d), ["doc", "region"], "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+    p = E.propose(rated(s, d)).join(matched_regions(s, d), ["doc", "region"], "left").withColumn("matched", F.col("block").isNotNull())
     return E.fusion_summary(p, ["doc"])
 
 
 def region_evidence(s: SparkSession, d: str) -> DataFrame:
     """Region with its proposal, disagreements and matching block, each aggregated before it is joined."""
     p = E.propose(rated(s, d)).select("doc", "region", "proposed_text", F.array_join("reasons", ",").alias("reasons"))
-    near = _pairs(s, d).where(F.col("cost") <= 0.85).groupBy("doc", "region").agg(F.min(F.struct("cost", "block")).alias("m")).select("doc", "region", F.col("m.block").alias("block"))
-    return V.regions(s, d).select("doc", "page", "region", "text").join(p, ["doc", "region"], "left").join(near, ["doc", "region"], "left")
+    return V.regions(s, d).select("doc", "page", "region", "text").join(p, ["doc", "region"], "left").join(matched_regions(s, d), ["doc", "region"], "left")
 
 
 def candidate_pairs(s: SparkSession, d: str) -> DataFrame:
