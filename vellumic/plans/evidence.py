@@ -48,8 +48,14 @@ def gated_unmatched(s: SparkSession, d: str) -> DataFrame:
     return r.unionByName(b)
 
 
+def matched_regions(s: SparkSession, d: str) -> DataFrame:
+    """Regions of the alignment with their block and IoU: one-to-one, then by containment."""
+    return A.matched(V.regions(s, d), V.blocks(s, d)).select("doc", "region", "block", F.round("iou", 4).alias("iou"))
+
+
 def rated(s: SparkSession, d: str) -> DataFrame:
-    return E.detect(E.lattice(E.collect(V.readings(s, d), ["doc", "region"])))
+    """Regions with their block and its IoU (null: unmatched), and their disagreements."""
+    return E.detect(E.lattice(E.collect(V.readings(s, d), ["doc", "region"])).join(matched_regions(s, d), ["doc", "region"], "left"))
 
 
 def _each(df: DataFrame, column: str, into: str) -> DataFrame:
@@ -87,20 +93,14 @@ def majority_vote(s: SparkSession, d: str) -> DataFrame:
     return p.select("doc", "region", F.col("p.position").cast("long").alias("position"), E.majority(F.col("p.words")).alias("word"))
 
 
-def matched_regions(s: SparkSession, d: str) -> DataFrame:
-    """Regions of the alignment with their block: one-to-one, then by containment."""
-    return A.matched(V.regions(s, d), V.blocks(s, d)).select("doc", "region", "block")
-
-
 def fusion_summary(s: SparkSession, d: str) -> DataFrame:
-    p = E.propose(rated(s, d)).join(matched_regions(s, d), ["doc", "region"], "left").withColumn("matched", F.col("block").isNotNull())
-    return E.fusion_summary(p, ["doc"])
+    return E.fusion_summary(E.propose(rated(s, d)).withColumn("matched", F.col("block").isNotNull()), ["doc"])
 
 
 def region_evidence(s: SparkSession, d: str) -> DataFrame:
     """Region with its proposal, disagreements and matching block, each aggregated before it is joined."""
-    p = E.propose(rated(s, d)).select("doc", "region", "proposed_text", F.array_join("reasons", ",").alias("reasons"))
-    return V.regions(s, d).select("doc", "page", "region", "text").join(p, ["doc", "region"], "left").join(matched_regions(s, d), ["doc", "region"], "left")
+    p = E.propose(rated(s, d)).select("doc", "region", "proposed_text", F.array_join("reasons", ",").alias("reasons"), "block")
+    return V.regions(s, d).select("doc", "page", "region", "text").join(p, ["doc", "region"], "left")
 
 
 def candidate_pairs(s: SparkSession, d: str) -> DataFrame:
