@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+from ..operators.ingest import _score
 from ..operators.shred import flatten
 from ..session import wide_batches
 from ..sources.layout_json import parse_bodies
@@ -42,7 +44,7 @@ def found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per run or result, with its parent document."""
+    """One row per run, result or raw response, with its parent document."""
     run = nested_table(spark, folder, "payload", [f"parsing_run.{c}" for c in ("id", "document_id", "job_id", "provider_id", "model_version", "page_count", "total_blocks", "execution_time_ms")]).select("parsing_run.*")
     result = nested_table(spark, folder, "prescription_vl_result", ["result_id", "document_id", "metadata.provider_name", "metadata.model_version", "metadata.parameters", "total_blocks", "execution_time_ms"])
     one = run.select(F.lit("payload").alias("source_table"), F.col("id").alias("record_id"), "document_id", "job_id", "provider_id", "model_version", "page_count", "total_blocks", "execution_time_ms")
@@ -50,7 +52,19 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("prescription_vl_result").alias("source_table"), F.col("result_id").alias("record_id"), "document_id", F.col("metadata.parameters.cloud_job_id").alias("job_id"), F.col("metadata.provider_name").alias("provider_id"), F.col("metadata.model_version").alias("model_version"),
         F.col("metadata.parameters.pages_parsed").alias("page_count"), "total_blocks", "execution_time_ms",
     )
-    return one.unionByName(two).distinct()
+    return one.unionByName(two).distinct().unionByName(raw_runs(spark, folder))
+
+
+def raw_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per raw response, with the document of its first delivery; counts are null where the body is broken."""
+    body = parse_bodies(table(spark, folder, "raw_prescription_response", "response_id", "document_id", "received_at", "body"), ["response_id", "document_id", "received_at"], "body")
+    there = F.transform("body_record.pages", lambda p: F.size(F.filter(F.coalesce(p.blocks, F.array()), lambda b: b.isNotNull())))
+    one = body.select(F.col("response_id").alias("record_id"), "document_id", "received_at", F.size(there).alias("page_count"), F.aggregate(there, F.lit(0), lambda a, n: a + n).alias("total_blocks"), F.col("body_record").isNotNull().alias("whole"))
+    first = F.min_by("document_id", F.struct(F.col("document_id").isNull(), "received_at", "document_id"))
+    count = lambda c: F.max(F.when(F.col("whole"), F.col(c))).alias(c)
+    rows = one.groupBy("record_id").agg(first.alias("document_id"), count("page_count"), count("total_blocks"))
+    none = {c: F.lit(None).cast("string") for c in ("job_id", "provider_id", "model_version")}
+    return rows.withColumns({"source_table": F.lit("raw_prescription_response"), **none, "execution_time_ms": F.lit(None).cast("double")})
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,21 +81,36 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per block of the typed tables, keyed (source_table, record_id, page_ord, block_ord), boxes spread over columns."""
+    """One row per block, keyed (source_table, record_id, page_ord, block_ord), boxes spread over columns."""
     wide_batches(spark)
     parts = []
     for name in NESTED:
         leaves = {f"blocks.{p}": p.replace(".", "_") for p in BLOCK_LEAVES}
         rows = flatten(pages_frame(spark, folder, name, list(leaves)), ["record_id"], "pages", "blocks", leaves)
         parts.append(rows.withColumnsRenamed({"ord_1": "page_ord", "ord_2": "block_ord"}).withColumn("source_table", F.lit(name)))
-    return parts[0].unionByName(parts[1]).distinct()
+    return parts[0].unionByName(parts[1]).unionByName(raw_blocks(spark, folder)).distinct()
+
+
+def raw_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks of raw bodies under the names of the typed ones; block_id as stored, page_index by position."""
+    page = raw_frame(spark, folder).select("record_id", F.posexplode("pages").alias("page_ord", "p"))
+    row = page.select("record_id", "page_ord", "p.width", "p.height", "p.boxes", F.posexplode("p.blocks").alias("block_ord", "b")).where("b IS NOT NULL")
+    row = row.withColumn("reading_order", F.coalesce("b.block_order", F.col("block_ord") + 1)).withColumn("box", G.from_corners(F.col("b.block_bbox"), F.nullif("width", F.lit(0)), F.nullif("height", F.lit(0))))
+    return row.select(
+        F.lit("raw_prescription_response").alias("source_table"), "record_id", "page_ord", "block_ord", F.col("page_ord").alias("page_index"), "b.block_id", F.coalesce("b.block_label", F.lit("text")).alias("block_type"),
+        F.coalesce("b.block_content", F.lit("")).alias("content"), "reading_order", _score(F.col("boxes"), F.col("reading_order")).alias("confidence"), *[F.col(f"box.{c}").alias(f"bounding_box_{c}") for c in "xywh"],
+    )
 
 
 def polygon_points(spark: SparkSession, folder: str) -> DataFrame:
     """One row per coordinate of a block's polygon: the grandchildren of a page, four lists deep."""
     wide_batches(spark)
-    rows = flatten(pages_frame(spark, folder, "payload", ["blocks.polygon"]), ["record_id"], "pages", "blocks.polygon", {"blocks.polygon": "value"})
-    return rows.withColumnsRenamed({"ord_1": "page_ord", "ord_2": "block_ord", "ord_3": "point_ord", "ord_4": "axis"}).distinct()
+    parts = []
+    for name in (*NESTED, "raw_prescription_response"):
+        leaf = "blocks.polygon" if name in NESTED else "blocks.block_polygon_points"
+        rows = flatten(pages_frame(spark, folder, name, [leaf]) if name in NESTED else raw_frame(spark, folder), ["record_id"], "pages", leaf, {leaf: "value"})
+        parts.append(rows.withColumnsRenamed({"ord_1": "page_ord", "ord_2": "block_ord", "ord_3": "point_ord", "ord_4": "axis"}).withColumn("source_table", F.lit(name)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
 
 
 def _typed(columns: str, name: str, key: str, pages: str) -> str:
