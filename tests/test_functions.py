@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vellumic.functions import extract as P
 from vellumic.functions import geometry as G
 from vellumic.functions import text as X
-from vellumic.functions.edit import distance, script, word_distance, word_script
+from vellumic.functions.edit import placed, script, word_distance, word_script
 from vellumic.operators.align import greedy, hungarian
 
 
@@ -43,17 +43,32 @@ def test_text(spark):
     assert list(r) == ["pass wd", "c_.pdf", "document", "document", "document"]
 
 
+def cheapest(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j - 1] + (x != y), last[j] + 1, row[j - 1] + 1))
+    return row[-1]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=6), st.lists(st.sampled_from("abc"), max_size=6))
 def test_script_is_a_cheapest_one_and_rebuilds_its_target(a, b):
     s = script(a, b)
-    assert sum(x[0] != "MATCH" for x in s) == distance(a, b)
+    assert sum(x[0] != "MATCH" for x in s) == cheapest(a, b)
+    words, added = placed(a, b)
+    want: list = [None] * len(a)
+    for op, at, _, _, word in s:
+        if op != "INSERTION":
+            want[at] = word
+    assert words == want and added == [x[4] for x in s if x[0] == "INSERTION"]
     assert [x[4] for x in s if x[0] != "DELETION"] == b and [x[3] for x in s if x[0] != "INSERTION"] == a
 
 
 def test_edit_functions_take_nulls(spark):
     df = spark.createDataFrame([(["a", "b"], ["a"]), (None, ["a"]), ([], [])], "a array<string>, b array<string>")
-    assert [r[0] for r in df.select(word_distance("a", "b")).collect()] == [1, None, 0]
+    assert [r[0] for r in df.select(word_distance(F.col("a"), F.col("b"))).collect()] == [1, None, 0]
     assert [r[0] and len(r[0]) for r in df.select(word_script("a", "b")).collect()] == [2, None, []]
 
 

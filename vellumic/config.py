@@ -1,4 +1,7 @@
-"""Thresholds and weights of the evidence operators, each a frozen record with its defaults."""
+"""Thresholds and weights of the evidence operators, each a frozen record.
+
+Fixed values: the numbers below are part of the defined results.
+"""
 
 from __future__ import annotations
 
@@ -34,10 +37,10 @@ class DetectConfig:
 
 @dataclass(frozen=True)
 class SelectConfig:
-    """Models in the order of their reliability, and those that share a family."""
+    """Models in the order of their reliability, and those that share a family: the caller's to say."""
 
-    reliability: tuple[str, ...] = ("hand", "line-cloud", "layout-cloud")
-    family: tuple[str, ...] = ("line-cloud", "layout-cloud")
+    reliability: tuple[str, ...]
+    family: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -58,4 +61,4 @@ class JobConfig:
     active: tuple[str, ...] = ("queued", "submitted", "running")
 
 
-ALIGN, DETECT, SELECT, RECOVER, JOBS = AlignConfig(), DetectConfig(), SelectConfig(), RecoverConfig(), JobConfig()
+ALIGN, DETECT, RECOVER, JOBS = AlignConfig(), DetectConfig(), RecoverConfig(), JobConfig()

@@ -1,4 +1,4 @@
-"""Edit scripts of words and characters: the one thing that Catalyst has no expression for.
+"""Edit scripts of words and characters: the one thing that Catalyst has no expression for. (It has one for distances.)
 
 Among the scripts of least cost the one is taken that, read from the end, prefers match, substitution,
 deletion, insertion in this order. Arrow batches in, Arrow batches out.
@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
@@ -41,15 +43,6 @@ def script(a: Sequence[str], b: Sequence[str]) -> list[tuple[str, int, int, str
     return out[::-1]
 
 
-def distance(a: Sequence[str], b: Sequence[str]) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
-    return row[-1]
-
-
 @pandas_udf(OP)
 def word_script(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else [dict(zip(("op", "pos_a", "pos_b", "item_a", "item_b"), s)) for s in script(list(x), list(y))] for x, y in zip(a, b)])
@@ -60,13 +53,57 @@ def char_script(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else [dict(zip(("op", "pos_a", "pos_b", "item_a", "item_b"), s)) for s in script(x, y)] for x, y in zip(a, b)])
 
 
-@pandas_udf(T.LongType())
-def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else distance(list(x), list(y)) for x, y in zip(a, b)], dtype="Int64")
+AGAINST = T.ArrayType(T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("added", T.ArrayType(T.StringType()))]))
+SCRIPTS = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("steps", OP)]))
 
 
-@pandas_udf(OP)
-def word_changes(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The steps of a word script that are no matches; nothing for equal texts, which are most."""
+def placed(a: Sequence[str], b: Sequence[str]) -> tuple[list[str | None], list[str]]:
+    """What ``b`` has at each place of ``a`` (None: nothing), and what it has besides."""
+    n, m = len(a), len(b)
+    same = 0  # a script prefers matches from the end, so a common end is always matched
+    while same < n and same < m and a[n - 1 - same] == b[m - 1 - same]:
+        same += 1
+    words: list[str | None] = [None] * (n - same) + list(a[n - same :])
+    added = []
+    for op, at, _, _, word in script(a[: n - same], b[: m - same]):
+        if op == "INSERTION":
+            added.append(word)
+        else:
+            words[at] = word
+    return words, added
+
+
+@pandas_udf(AGAINST)
+def against_first(texts: pd.Series) -> pd.Series:
+    """Normalized texts of a region: every further one against the first, null for those equal to it."""
+
+    def row(given: Sequence[str]) -> list[dict | None]:
+        first = given[0].split()
+        return [None if t == given[0] else dict(zip(("words", "added"), placed(first, t.split()))) for t in given[1:]]
+
+    return pd.Series([None if x is None else row(x) for x in texts], dtype=object)
+
+
+@pandas_udf(SCRIPTS)
+def pairwise_scripts(texts: pd.Series) -> pd.Series:
+    """Word scripts of all pairs of a region's texts, earlier against later."""
     keys = ("op", "pos_a", "pos_b", "item_a", "item_b")
-    return pd.Series([None if x is None or y is None else [] if len(x) == len(y) and (x == y).all() else [dict(zip(keys, s)) for s in script(list(x), list(y)) if s[0] != "MATCH"] for x, y in zip(a, b)])
+
+    def row(given: Sequence[str]) -> list[dict]:
+        words = [t.split() for t in given]
+        return [{"a": i, "b": j, "steps": [dict(zip(keys, s)) for s in script(words[i], words[j])]} for i in range(len(words)) for j in range(i + 1, len(words))]
+
+    return pd.Series([None if x is None else row(x) for x in texts], dtype=object)
+
+
+def word_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two arrays of words, in the JVM: each different word of the pair is written as one character."""
+    kinds = F.array_distinct(F.concat(a, b))
+
+    def sign(word: Column) -> Column:
+        place = F.array_position(kinds, word) + 0xFF
+        code = F.when(place < 0xD800, place).otherwise(place + 0x800)  # no surrogates
+        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+    written = lambda words: F.array_join(F.transform(words, sign), "")
+    return F.when(a == b, 0).otherwise(F.levenshtein(written(a), written(b))).cast("long")

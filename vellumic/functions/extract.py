@@ -33,14 +33,27 @@ def _first(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, pattern, group)), F.lit(""))
 
 
+#: What the fields of an invoice and of an application look like, and what counts as a key.
+INVOICE_NUMBER = r"(?i)invoice\s*(?:no|number)?\s*[:#]?\s*([A-Z0-9-]+)"
+INVOICE_TOTAL = r"(?i)total\s*[:$]?\s*([\d,]+\.\d{2})"
+FORM_DATE = r"\d{2}/\d{2}/\d{4}|\d{4}-\d{2}-\d{2}"
+APPLICANT = r"(?i)name\s*:\s*([A-Za-z\s]+)"
+SIGNATURE = r"(?i)signature"
+KEY = r"[A-Z][a-z]+:"
+
+
 def invoice_fields(text: Column) -> Column:
-    return F.struct(
-        _first(text, r"(?i)invoice\s*(?:no\.?|number|#)?\s*[:#]?\s*([A-Z0-9-]*\d[A-Z0-9-]*)").alias("number"), _first(text, r"(?i)total\s*[:=]?\s*\$?\s*(\d[\d,]*(?:\.\d+)?)").alias("total"), _first(text, r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}-\d{2}-\d{2})").alias("date")
-    )
+    return F.struct(_first(text, INVOICE_NUMBER).alias("number"), _first(text, INVOICE_TOTAL).alias("total"), _first(text, FORM_DATE, 0).alias("date"))
 
 
 def application_fields(text: Column) -> Column:
-    return F.struct(_first(text, r"(?im)^\s*(?:applicant(?: name)?|name)\s*:\s*(.+)$").alias("name"), text.rlike(r"(?i)signature|signed").alias("has_signature"), _first(text, r"(?i)date\s*:\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}-\d{2}-\d{2})").alias("date"))
+    name = F.regexp_replace(F.regexp_extract(text, APPLICANT, 1), r"^\s+|\s+$", "")
+    return F.struct(F.nullif(name, F.lit("")).alias("name"), text.rlike(SIGNATURE).alias("has_signature"), _first(text, FORM_DATE, 0).alias("date"))
+
+
+def text_facts(text: Column, preview: int = 100) -> Column:
+    """What is told of a text of no known kind: its keys, its length, and how it begins."""
+    return F.struct(F.regexp_count(text, F.lit(KEY)).alias("keys_found"), F.length(text).alias("document_length"), F.concat(F.substring(text, 1, preview), F.lit("...")).alias("preview"))
 
 
 def age_sex(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ IDENTIFIER = r"\b([A-Z]{2,}\d+|\d+[A-Z]{2,})\b"
 BLANK = r"[\s\x1c-\x1f]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once; bodies of lambdas have no common subexpressions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize(text: Column) -> Column:
     """Small letters, no outer blanks, single blanks."""
     return F.regexp_replace(F.regexp_replace(F.lower(text), rf"(?U)^{BLANK}+|{BLANK}+$", ""), rf"(?U){BLANK}+", " ")
@@ -28,10 +35,13 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(F.regexp_replace(text, r"\s+", "") == "", F.lit(True))
 
 
+#: One pattern for all four kinds of critical words; each of them holds a digit.
+CRITICAL = f"(?U){NUMBER}|{DATE}|(?i:{UNIT_TOKEN.removeprefix('(?i)')})|{IDENTIFIER}"
+
+
 def is_critical(word: Column) -> Column:
     """A number, date, quantity or identifier (the latter in capitals, so never in normalized text)."""
-    seen = [word.rlike(f"(?U){p}") for p in (NUMBER, DATE, UNIT_TOKEN, IDENTIFIER)]  # letters and digits of any script, as in the reference
-    return F.coalesce(seen[0] | seen[1] | seen[2] | seen[3], F.lit(False))
+    return F.coalesce(word.rlike(r"\p{Nd}") & word.rlike(CRITICAL), F.lit(False))  # letters and digits of any script
 
 
 def digits(text: Column) -> Column:
@@ -47,7 +57,7 @@ def units(text: Column) -> Column:
 
 
 def edit_ratio(a: Column, b: Column) -> Column:
-    return F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+    return F.when(a == b, 0.0).otherwise(F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)))
 
 
 def style_category(text: Column, ordinal: Column) -> Column:

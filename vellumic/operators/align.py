@@ -1,31 +1,57 @@
 """Regions matched with layout blocks of the same page.
 
 ``regions``: doc, page, region (ordinal), box, text. ``blocks``: doc, page, block (ordinal), box, text,
-reading_order. Pages are co-partitioned by (doc, page) once; the pair join is an equi-join on them.
+reading_order. Both sides of a page meet in one row by a single shuffle; the pairs of a page are made from
+it in the JVM and stay together, so that matching needs neither a join nor another shuffle or sort.
+
+Defined results: a null page or document is a page or document of its own; without boxes the cost is null,
+which no match may have; a page with one side only leaves all of it unmatched; other columns are ignored.
+A page is one unit of work: its pairs must fit a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import ALIGN, AlignConfig
 from ..functions import geometry as G
-from .grouped import each_batch_of_groups
+from .grouped import whole_runs
 
 PAGE = ["doc", "page"]
-PAIR = "doc long, page int, region long, block long, cost double"
-MATCH = "doc long, page int, region long, block long, status string, iou double"
+STATUS = ["one_to_one", "one_to_many", "unmatched_region", "unmatched_block"]
+
+
+def pages(regions: DataFrame, blocks: DataFrame, cfg: AlignConfig = ALIGN) -> DataFrame:
+    """One row per page: its regions and its blocks as arrays in the order of their ordinals."""
+    text = G.cost_text(F.col("text"), cfg).alias("text")  # normalized once, before texts are paired
+    r = regions.select(*PAGE, F.struct("region", "box", text).alias("r"))
+    b = blocks.select(*PAGE, F.struct("block", "box", text, "reading_order").alias("b"))
+    both = r.unionByName(b, allowMissingColumns=True)
+    return both.groupBy(*PAGE).agg(F.array_sort(F.collect_list("r")).alias("rs"), F.array_sort(F.collect_list("b")).alias("bs"))
+
+
+def _pairs(regions: DataFrame, blocks: DataFrame, cfg: AlignConfig, outer: bool) -> DataFrame:
+    """All pairs of each page, those of one page one after another; ``outer`` keeps pages of one side."""
+    each = F.explode_outer if outer else F.explode
+    page = pages(regions, blocks, cfg).withColumn("_page", F.monotonically_increasing_id())
+    both = page.select(*PAGE, "_page", "bs", each("rs").alias("r")).select(*PAGE, "_page", "r", each("bs").alias("b"))
+    cost = G.pair_cost(F.col("r.box"), F.col("b.box"), F.col("r.text"), F.col("b.text"), F.col("b.reading_order"), cfg)
+    there = F.col("r").isNotNull() & F.col("b").isNotNull()
+    inside = F.coalesce(G.contains_center(F.col("b.box"), F.col("r.box")), F.lit(False))
+    return both.select(*PAGE, "_page", F.col("r.region").alias("region"), F.col("b.block").alias("block"), F.when(there, cost).alias("cost"), F.when(there, G.iou(F.col("r.box"), F.col("b.box"))).alias("iou"), inside.alias("inside"))
 
 
 def cost_pairs(regions: DataFrame, blocks: DataFrame, cfg: AlignConfig = ALIGN) -> DataFrame:
     """Every region and block of a page with their cost and IoU."""
-    r = regions.select(*PAGE, "region", F.col("box").alias("rbox"), G.cost_text(F.col("text"), cfg).alias("rtext"))
-    b = blocks.select(*PAGE, "block", F.col("box").alias("bbox"), G.cost_text(F.col("text"), cfg).alias("btext"), "reading_order")
-    cost = G.pair_cost(F.col("rbox"), F.col("bbox"), F.col("rtext"), F.col("btext"), F.col("reading_order"), cfg)
-    return r.join(b, PAGE).select(*PAGE, "region", "block", cost.alias("cost"), G.iou(F.col("rbox"), F.col("bbox")).alias("iou"))
+    return _pairs(regions, blocks, cfg, False).select(*PAGE, "region", "block", "cost", "iou")
 
 
 def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -69,82 +95,113 @@ def greedy(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
     return out
 
 
-def _chosen(pdf: pd.DataFrame, cfg: AlignConfig, optimal: bool) -> list[int]:
-    """Rows of whole pages, sorted by region and block, that are assigned and cheap enough."""
-    page = pdf[PAGE].to_numpy()
-    region, block, cost = (pdf[c].to_numpy() for c in ("region", "block", "cost"))
-    bounds = np.flatnonzero(np.r_[True, (page[1:] != page[:-1]).any(axis=1), True])
-    keep: list[int] = []
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        rows = np.unique(region[lo:hi])
-        if hi - lo == 1 or len(rows) in (1, hi - lo):  # one region, or one block: the cheapest pair
-            best = lo + int(np.argmin(cost[lo:hi]))
-            keep += [best] if cost[best] <= cfg.most_cost else []
-            continue
-        cols = np.unique(block[lo:hi])
-        at = np.full((len(rows), len(cols)), -1)
-        at[np.searchsorted(rows, region[lo:hi]), np.searchsorted(cols, block[lo:hi])] = np.arange(lo, hi)
-        table = np.where(at >= 0, cost[at], cfg.impossible)
-        found = hungarian(table) if optimal else greedy([(i, j, table[i, j]) for i in range(len(rows)) for j in range(len(cols))])
-        keep += [at[i, j] for i, j in found if at[i, j] >= 0 and table[i, j] <= cfg.most_cost]
-    return keep
-
-
-def _assign(pairs: DataFrame, cfg: AlignConfig, optimal: bool) -> DataFrame:
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.iloc[_chosen(pdf, cfg, optimal)][["doc", "page", "region", "block", "cost"]]
-
-    return each_batch_of_groups(pairs.select(*PAGE, "region", "block", "cost"), PAGE, ["region", "block"], work, PAIR)
-
-
-def assign_optimal(pairs: DataFrame, cfg: AlignConfig = ALIGN) -> DataFrame:
+def _assigned(region: np.ndarray, block: np.ndarray, cost: np.ndarray, cfg: AlignConfig, optimal: bool) -> list[int]:
+    """Rows of one page, sorted by region and block, that are assigned and cheap enough."""
+    cost = np.where(np.isnan(cost), cfg.impossible, cost)
+    rows, cols = np.unique(region), np.unique(block)
+    if len(rows) == 1 or len(cols) == 1:  # the cheapest pair
+        best = int(np.argmin(cost))
+        return [best] if cost[best] <= cfg.most_cost else []
+    at = np.full((len(rows), len(cols)), -1)
+    at[np.searchsorted(rows, region), np.searchsorted(cols, block)] = np.arange(len(cost))
+    table = np.where(at >= 0, cost[at], cfg.impossible)
+    found = hungarian(table) if optimal else greedy([(i, j, table[i, j]) for i in range(len(rows)) for j in range(len(cols))])
+    return [int(at[i, j]) for i, j in found if at[i, j] >= 0 and table[i, j] <= cfg.most_cost]
+
+
+def _each_page(pairs: DataFrame, fields: list[T.StructField], work: Callable[[dict[str, np.ndarray]], tuple[list[int], dict[str, list]]]) -> DataFrame:
+    """``work`` gets the columns of one page and says which rows stay, and the values of further columns."""
+    kept = [pairs.schema[c] for c in (*PAGE, "region", "block")]
+    schema = T.StructType([*kept, *fields])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = to_arrow_schema(schema)
+        for table in whole_runs(batches, "_page"):
+            number = {c: table.column(c).to_numpy() for c in ("_page", "cost", "iou")} | {c: table.column(c).fill_null(-1).to_numpy() for c in ("region", "block")}
+            number |= {"inside": table.column("inside").to_numpy(), "has_region": table.column("region").is_valid().to_numpy(), "has_block": table.column("block").is_valid().to_numpy()}
+            bounds = np.flatnonzero(np.r_[True, number["_page"][1:] != number["_page"][:-1], True])
+            take: list[int] = []
+            more: dict[str, list] = {f.name: [] for f in fields}
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                rows, values = work({c: v[lo:hi] for c, v in number.items()})
+                take += [lo + i for i in rows]
+                for name, v in values.items():
+                    more[name] += v
+            picked = table.select([f.name for f in kept]).take(pa.array(take, pa.int64()))
+            columns = dict(zip(picked.column_names, picked.columns)) | {n: pa.array(v, target.field(n).type) for n, v in more.items()}
+            if "status" in columns:  # a row of the other side stands for what is left over
+                status = np.array(more["status"], object)
+                for name, gone in (("region", "unmatched_block"), ("block", "unmatched_region")):
+                    columns[name] = pc.if_else(pa.array(status != gone, pa.bool_()), columns[name], pa.scalar(None, columns[name].type))
+            yield from pa.table([columns[n] for n in target.names], names=target.names).cast(target).to_batches()
+
+    return pairs.mapInArrow(run, schema)
+
+
+_COST = [T.StructField("cost", T.DoubleType())]
+
+
+def _assign(regions: DataFrame, blocks: DataFrame, cfg: AlignConfig, optimal: bool) -> DataFrame:
+    def work(page: dict[str, np.ndarray]) -> tuple[list[int], dict[str, list]]:
+        keep = _assigned(page["region"], page["block"], page["cost"], cfg, optimal)
+        return keep, {"cost": page["cost"][keep].tolist()}
+
+    return _each_page(_pairs(regions, blocks, cfg, False), _COST, work)
+
+
+def assign_optimal(regions: DataFrame, blocks: DataFrame, cfg: AlignConfig = ALIGN) -> DataFrame:
     """One-to-one pairs of least total cost per page; pairs that cost too much are dropped afterwards."""
-    return _assign(pairs, cfg, True)
+    return _assign(regions, blocks, cfg, True)
 
 
-def assign_greedy(pairs: DataFrame, cfg: AlignConfig = ALIGN) -> DataFrame:
-    return _assign(pairs, cfg, False)
+def assign_greedy(regions: DataFrame, blocks: DataFrame, cfg: AlignConfig = ALIGN) -> DataFrame:
+    """Pairs by cost, each taken while both sides are free."""
+    return _assign(regions, blocks, cfg, False)
 
 
 def contained(regions: DataFrame, blocks: DataFrame) -> DataFrame:
     """Each region with the first block that holds its centre."""
-    r = regions.select(*PAGE, "region", F.col("box").alias("rbox"))
-    b = blocks.select(*PAGE, "block", F.col("box").alias("bbox"))
-    hits = r.join(b, PAGE).where(G.contains_center(F.col("bbox"), F.col("rbox")))
-    return hits.groupBy(*PAGE, "region").agg(F.min("block").alias("block"))
+    each = pages(regions, blocks).select(*PAGE, "bs", F.explode("rs").alias("r"))
+    first = F.get(F.filter("bs", lambda b: G.contains_center(b["box"], F.col("r.box"))), F.lit(0))["block"]
+    return each.select(*PAGE, F.col("r.region").alias("region"), first.alias("block")).where(F.col("block").isNotNull())
 
 
-def matched(regions: DataFrame, blocks: DataFrame, cfg: AlignConfig = ALIGN) -> DataFrame:
-    """The matched and contained pairs of ``align`` with the IoU of either, from one pass over the pairs of each page."""
-    r = regions.select(*PAGE, "region", F.col("box").alias("rbox"), G.cost_text(F.col("text"), cfg).alias("rtext"))
-    b = blocks.select(*PAGE, "block", F.col("box").alias("bbox"), G.cost_text(F.col("text"), cfg).alias("btext"), "reading_order")
-    cost = G.pair_cost(F.col("rbox"), F.col("bbox"), F.col("rtext"), F.col("btext"), F.col("reading_order"), cfg)
-    inside = F.coalesce(G.contains_center(F.col("bbox"), F.col("rbox")), F.lit(False))
-    pairs = r.join(b, PAGE).select(*PAGE, "region", "block", cost.alias("cost"), G.iou(F.col("rbox"), F.col("bbox")).alias("iou"), inside.alias("inside"))
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = np.array(_chosen(pdf, cfg, True), int)
-        region, block = (pdf.groupby([*PAGE, c], sort=False, dropna=False).ngroup().to_numpy() for c in ("region", "block"))
-        rest = np.flatnonzero(pdf["inside"].to_numpy(bool) & ~np.isin(region, region[one]) & ~np.isin(block, block[one]))
+def align(regions: DataFrame, blocks: DataFrame, cfg: AlignConfig = ALIGN) -> DataFrame:
+    """One-to-one matches, then regions by containment in blocks that are still free, and what is left on either side.
+
+    ``iou`` is that of the matched boxes, for both kinds of match; unmatched rows have none.
+    """
+    fields = [T.StructField("status", T.StringType()), T.StructField("iou", T.DoubleType()), T.StructField("cost", T.DoubleType())]
+
+    def work(page: dict[str, np.ndarray]) -> tuple[list[int], dict[str, list]]:
+        region, block = page["region"], page["block"]
+        pair = page["has_region"] & page["has_block"]
+        one = _assigned(region, block, page["cost"], cfg, True) if pair.all() else []
+        rest = np.flatnonzero(page["inside"] & ~np.isin(region, region[one]) & ~np.isin(block, block[one]))
         many = rest[np.unique(region[rest], return_index=True)[1]]  # the first block that holds a region
-        out = pdf.iloc[np.r_[one, many]]
-        return out.assign(status=np.repeat(["one_to_one", "one_to_many"], [len(one), len(many)]))[["doc", "page", "region", "block", "status", "iou"]]
+        free_r = np.flatnonzero(page["has_region"] & ~np.isin(region, region[one]) & ~np.isin(region, region[many]))
+        free_b = np.flatnonzero(page["has_block"] & ~np.isin(block, block[one]) & ~np.isin(block, block[many]))
+        free_r, free_b = (x[np.unique(page[c][x], return_index=True)[1]] for c, x in (("region", free_r), ("block", free_b)))
+        parts = [one, many.tolist(), free_r.tolist(), free_b.tolist()]
+        matched = [*one, *many.tolist()]
+        none = [None] * (len(free_r) + len(free_b))
+        return [i for p in parts for i in p], {
+            "status": [s for s, p in zip(STATUS, parts) for _ in p],
+            "iou": page["iou"][matched].tolist() + none,
+            "cost": page["cost"][one].tolist() + [None] * len(many) + none,
+        }
 
-    return each_batch_of_groups(pairs, PAGE, ["region", "block"], work, MATCH)
+    rows = _each_page(_pairs(regions, blocks, cfg, True), fields, work)
+    return rows.select(*PAGE, "region", "block", "status", F.round("iou", 4).alias("iou"), confidence(F.col("status"), F.col("cost"), cfg).alias("confidence"))
 
 
-def align(regions: DataFrame, blocks: DataFrame, cfg: AlignConfig = ALIGN) -> DataFrame:
-    """Matched, contained, and what is left on either side."""
-    pairs = cost_pairs(regions, blocks, cfg)
-    matched = assign_optimal(pairs, cfg).join(pairs.drop("cost"), [*PAGE, "region", "block"])
-    one = matched.select(*PAGE, "region", "block", F.lit("one_to_one").alias("status"), "iou", G.match_confidence(F.col("cost")).alias("confidence"))
-    left_r = regions.join(one, [*PAGE, "region"], "left_anti")
-    left_b = blocks.join(one, [*PAGE, "block"], "left_anti")
-    many = contained(left_r, left_b).select(*PAGE, "region", "block", F.lit("one_to_many").alias("status"), F.lit(None).cast("double").alias("iou"), F.lit(cfg.containment_confidence).alias("confidence"))
-    none = F.lit(None).cast("double")
-    only_r = left_r.join(many, [*PAGE, "region"], "left_anti").select(*PAGE, "region", F.lit(None).cast("long").alias("block"), F.lit("unmatched_region").alias("status"), none.alias("iou"), F.lit(0.0).alias("confidence"))
-    only_b = left_b.join(many, [*PAGE, "block"], "left_anti").select(*PAGE, F.lit(None).cast("long").alias("region"), "block", F.lit("unmatched_block").alias("status"), none.alias("iou"), F.lit(0.0).alias("confidence"))
-    return one.unionByName(many).unionByName(only_r).unionByName(only_b)
+def confidence(status: Column, cost: Column, cfg: AlignConfig = ALIGN) -> Column:
+    return F.when(status == "one_to_one", G.match_confidence(cost)).when(status == "one_to_many", F.lit(cfg.containment_confidence)).otherwise(0.0)
+
+
+def matched(regions: DataFrame, blocks: DataFrame, cfg: AlignConfig = ALIGN) -> DataFrame:
+    """The regions of ``align`` that have a block."""
+    return align(regions, blocks, cfg).where(F.col("status").isin("one_to_one", "one_to_many"))
 
 
 def latest_by(df: DataFrame, keys: list[str], order: list, k: int = 1) -> DataFrame:

@@ -1,35 +1,37 @@
 """Competing readings of a region: word lattice, disagreements, proposal, recovery.
 
-A region is one row with ``hyps``, its readings in order: array<struct<ord, model, text, conf>>. All rules are
-expressions over that array, so a region never leaves its row; the word edit scripts are the only
-Arrow function. Ties always go by ``ord``.
+A region is one row with ``hyps``, its readings in order: array<struct<ord, model, text, conf>>. One shuffle
+brings them together; from then on a region never leaves its row. All rules are expressions over that
+array; the word alignment of a region's readings is the only Arrow function, and regions whose
+readings agree send it nothing. Ties always go by ``ord``.
+
+Defined results: a region without readings has no position, INSUFFICIENT_EVIDENCE and no proposal; a null text
+is an empty one; of two readings by one model the later counts; columns of the input stay beside the results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DETECT, RECOVER, SELECT, DetectConfig, RecoverConfig, SelectConfig
+from ..config import DETECT, RECOVER, DetectConfig, RecoverConfig, SelectConfig
 from ..functions import text as X
-from ..functions.edit import word_changes
+from ..functions.edit import against_first, pairwise_scripts
+from ..functions.text import let
 
 #: Agreement of readings, worst first.
 AGREEMENT = ["FULL_DISAGREEMENT", "MISSING_TEXT", "EXTRA_TEXT", "MINORITY_DISAGREEMENT", "SINGLE_MODEL_ONLY", "FULL_AGREEMENT"]
-POSITION = "struct<position:int,words:array<struct<ord:int,model:string,word:string>>,agreement:string,is_critical:boolean>"
+POSITION = "struct<position:int,words:array<struct<ord:int,model:string,word:string>>,agreement:string,is_critical:boolean,conflict:string>"
+STRATEGIES = ("best_individual", "unweighted_rover", "evidence_aware", "evidence_aware_with_recovery")
 
 
 def collect(hyps: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (keys, ord, model, text, conf) as one row per region; of two readings by one model the later ord counts."""
-    last = hyps.groupBy(*keys, "model").agg(F.max_by(F.struct("ord", "model", "text", "conf"), "ord").alias("h"))
-    return last.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("h.ord").cast("int").alias("ord"), "h.model", "h.text", "h.conf"))).alias("hyps"))
-
-
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once; bodies of lambdas have no common subexpressions."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    said = hyps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("ord").cast("int").alias("ord"), "model", "text", "conf"))).alias("hyps"))
+    later = lambda h, i: F.exists(F.slice("hyps", i + 2, F.size("hyps")), lambda x: x.model.eqNullSafe(h.model))
+    again = F.size(F.array_distinct(F.transform("hyps", lambda h: h.model))) < F.size("hyps")
+    return said.withColumn("hyps", F.when(again, F.filter("hyps", lambda h, i: ~later(h, i))).otherwise(F.col("hyps")))
 
 
 def _agreement(words: Column, n: Column) -> Column:
@@ -53,40 +55,45 @@ def _agreement(words: Column, n: Column) -> Column:
 
 def lattice(regions: DataFrame) -> DataFrame:
     """Adds ``positions`` (the first reading's words, then words that others add) and ``overall``."""
-    df = regions.withColumn("anchor", X.tokens(F.element_at("hyps", 1)["text"]))
-    # scripts of the anchor against every other reading, in one batch of the Arrow function
-    long = df.select("*", F.posexplode_outer(F.slice("hyps", 2, 1_000_000)).alias("_at", "_other"))
-    long = long.withColumn("_script", F.when(F.col("_other").isNotNull(), word_changes(F.col("anchor"), X.tokens(F.coalesce(F.col("_other.text"), F.lit(""))))))
-    keep = [c for c in regions.columns]
-    keys = [c for c in keep if c != "hyps"]
-    scripts = F.array_sort(F.collect_list(F.when(F.col("_other").isNotNull(), F.struct(F.col("_at"), F.col("_other.ord").alias("ord"), F.col("_other.model").alias("model"), F.col("_script").alias("steps")))))
-    df = long.groupBy(*keys).agg(F.first("hyps").alias("hyps"), F.first("anchor").alias("anchor"), scripts.alias("scripts"))
-    n = F.size("hyps")
-    first = F.element_at("hyps", 1)
-
-    def word_of(s: Column, i: Column, own: Column) -> Column:
-        at = F.filter(s.steps, lambda p: (p.pos_a == i) & (p.op != "INSERTION"))
-        said = let(F.get(at, F.lit(0)), lambda step: F.when(step.isNull(), own).when(step.op == "SUBSTITUTION", step.item_b))
-        return F.struct(s.ord.alias("ord"), s.model.alias("model"), F.when(F.size(s.steps) == 0, own).otherwise(said).alias("word"))
+    keep = regions.columns
+    df = regions.withColumn("_said", F.transform("hyps", lambda h: F.coalesce(X.normalize(h.text), F.lit(""))))
+    df = df.withColumn("_others", against_first(F.when(F.size(F.array_distinct("_said")) > 1, F.col("_said"))))
+    df = df.withColumn("_own", F.coalesce(F.filter(F.split(F.get("_said", F.lit(0)), " "), lambda t: t != ""), F.array().cast("array<string>")))
+    n, others, first = F.size("hyps"), F.slice("hyps", 2, F.size("hyps")), F.get("hyps", F.lit(0))
+    same = F.col("_others").isNull()
 
     def words_at(own: Column, i: Column) -> Column:
-        words = F.concat(F.array(F.struct(first["ord"].alias("ord"), first["model"].alias("model"), own.alias("word"))), F.transform("scripts", lambda s: word_of(s, i, own)))
-        return F.struct(i.cast("int").alias("position"), own.alias("own"), words.alias("words"))
+        """What each reading has at one place of the first; one that is equal to it as a whole is null here."""
+        said = F.transform(others, lambda h, k: F.struct(h.ord.alias("ord"), h.model.alias("model"), let(F.get("_others", k), lambda o: F.when(o.isNull(), own).otherwise(F.get(o.words, i))).alias("word")))
+        return F.concat(F.array(F.struct(first["ord"].alias("ord"), first["model"].alias("model"), own.alias("word"))), said)
 
     def rated(p: Column) -> Column:
-        level = F.when(n < 2, "SINGLE_MODEL_ONLY").otherwise(F.when(F.forall("scripts", lambda s: F.size(s.steps) == 0), "FULL_AGREEMENT").otherwise(_agreement(p.words, n)))
-        return F.struct(p.position, p.words, level.alias("agreement"), X.is_critical(p.own).alias("is_critical"))
+        level = F.when(n < 2, "SINGLE_MODEL_ONLY").when(same, "FULL_AGREEMENT").otherwise(_agreement(p.words, n))
+        return let(level, lambda a: F.struct(p.position.alias("position"), p.words.alias("words"), a.alias("agreement"), X.is_critical(p.own).alias("is_critical"), F.when(a.isin("MINORITY_DISAGREEMENT", "FULL_DISAGREEMENT"), _side_by_side(p.words)).alias("conflict")))
 
-    added = F.flatten(F.transform("scripts", lambda s: F.transform(F.filter(s.steps, lambda p: p.op == "INSERTION"), lambda p: F.struct(s.ord.alias("ord"), s.model.alias("model"), p.item_b.alias("word")))))
+    none = F.array().cast("array<string>")
+    added = F.flatten(F.transform(others, lambda h, k: F.transform(F.coalesce(F.get("_others", k).added, none), lambda w: F.struct(h.ord.alias("ord"), h.model.alias("model"), w.alias("word")))))
     extra = F.transform(
-        added, lambda w, i: F.struct((F.size("anchor") + i).cast("int").alias("position"), F.array(w).alias("words"), F.lit("EXTRA_TEXT").alias("agreement"), X.is_critical(w.word).alias("is_critical"))
+        added, lambda w, i: F.struct((F.size("_own") + i).cast("int").alias("position"), F.array(w).alias("words"), F.lit("EXTRA_TEXT").alias("agreement"), X.is_critical(w.word).alias("is_critical"), F.concat(F.lit("inserted: "), w.word).alias("conflict"))
     )
-    df = df.withColumn("positions", F.concat(F.transform(F.transform("anchor", words_at), rated), extra).cast(f"array<{POSITION}>"))
+    placed = F.transform("_own", lambda own, i: F.struct(i.cast("int").alias("position"), own.alias("own"), words_at(own, i).alias("words")))
+    df = df.withColumn("positions", F.concat(F.transform(placed, rated), F.when(same, F.array().cast(f"array<{POSITION}>")).otherwise(extra)).cast(f"array<{POSITION}>"))
     levels = F.transform("positions", lambda p: p.agreement)
     worst = F.lit("FULL_AGREEMENT")
     for level in reversed(AGREEMENT[:-1]):
         worst = F.when(F.array_contains(levels, level), level).otherwise(worst)
-    return df.withColumn("overall", F.when(n < 2, "SINGLE_MODEL_ONLY").otherwise(worst)).select(*keep, "positions", "overall")
+    return df.withColumn("overall", F.when(n < 2, "SINGLE_MODEL_ONLY").when(same, "FULL_AGREEMENT").otherwise(worst)).select(*keep, "positions", "overall")
+
+
+def _side_by_side(words: Column) -> Column:
+    """The different words of a position in alphabetical order."""
+    return F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(words, lambda w: w.word), lambda w: w.isNotNull()))), " vs ")
+
+
+def scripts(regions: DataFrame) -> DataFrame:
+    """Adds ``scripts``: the word edit scripts of all pairs of readings, earlier against later."""
+    said = regions.withColumn("_said", F.transform("hyps", lambda h: F.coalesce(X.normalize(h.text), F.lit(""))))
+    return said.withColumn("scripts", pairwise_scripts(F.when(F.size("_said") > 1, F.col("_said")))).drop("_said")
 
 
 def _record(kind: str, severity: str | Column, span: Column | None = None) -> Column:
@@ -94,10 +101,10 @@ def _record(kind: str, severity: str | Column, span: Column | None = None) -> Co
     return F.struct(F.lit(kind).alias("type"), severity.alias("severity"), (F.lit(None).cast("string") if span is None else span.cast("string")).alias("span"))
 
 
-def conflict(kinds: Column) -> tuple[Column, Column]:
-    """Whether distinct values differ where at least one says something, and the first three side by side."""
-    differ = (F.size(kinds) > 1) & F.exists(kinds, lambda v: v != "")
-    return differ, F.array_join(F.slice(F.array_sort(F.transform(kinds, lambda v: F.when(v == "", "(none)").otherwise(v))), 1, 3), " vs ")
+def conflict(said: Column) -> tuple[Column, Column]:
+    """Whether values differ where at least one says something, and the first three side by side, repeats included."""
+    differ = (F.size(F.array_distinct(said)) > 1) & F.exists(said, lambda v: v != "")
+    return differ, F.array_join(F.transform(F.slice(said, 1, 3), lambda v: F.when(v == "", "(none)").otherwise(v)), " vs ")
 
 
 def detect(regions: DataFrame, cfg: DetectConfig = DETECT) -> DataFrame:
@@ -109,7 +116,8 @@ def detect(regions: DataFrame, cfg: DetectConfig = DETECT) -> DataFrame:
     # equal texts have equal numbers, dates and units: only regions with several texts are looked at
     several = F.size("_texts") > 1
     rules = (("NUMERIC_CONFLICT", X.digits), ("DATE_CONFLICT", X.dates), ("UNIT_CONFLICT", X.units))
-    regions = regions.withColumns({f"_{kind}": F.when(several, F.array_distinct(F.transform("_texts", pick))).otherwise(F.array().cast("array<string>")) for kind, pick in rules})
+    spoken_text = lambda pick: F.transform("_spoken", lambda c: pick(c.text))
+    regions = regions.withColumns({f"_{kind}": F.when(several, spoken_text(pick)).otherwise(F.array().cast("array<string>")) for kind, pick in rules})
     regions = regions.withColumns({"_apart": F.filter("positions", lambda p: ~p.agreement.isin("FULL_AGREEMENT", "SINGLE_MODEL_ONLY"))})
     none = F.array().cast("array<struct<type:string,severity:string,span:string>>")
     low = F.transform(F.filter(h, lambda c: c.conf < cfg.low_confidence), lambda c: _record("LOW_RAW_CONFIDENCE", "MEDIUM", c.model))
@@ -124,7 +132,8 @@ def detect(regions: DataFrame, cfg: DetectConfig = DETECT) -> DataFrame:
     for kind, _ in rules:
         differ, span = conflict(F.col(f"_{kind}"))
         parts.append(when(differ, _record(kind, "CRITICAL", span)))
-    parts.append(when(F.size(gaps) > 0, _record("MISSING_TEXT", "HIGH", F.array_join(F.slice(F.transform(gaps, lambda p: F.get(F.filter(F.transform(p.words, lambda w: w.word), lambda w: w.isNotNull()), F.lit(0))), 1, 5), " "))))
+    lost = F.filter(F.flatten(F.transform(gaps, lambda p: F.transform(p.words, lambda w: w.word))), lambda w: w.isNotNull())  # a word for each model that has it
+    parts.append(when(F.size(gaps) > 0, _record("MISSING_TEXT", "HIGH", F.array_join(F.slice(lost, 1, 5), " "))))
     longer = F.flatten(
         F.transform(spoken, lambda a: F.transform(F.filter(spoken, lambda b: (b.ord > a.ord) & (F.length(b.text) / F.greatest(F.length(a.text), F.lit(1)) > cfg.completion_ratio)), lambda b: _record("UNSUPPORTED_COMPLETION_SUSPECTED", "HIGH", F.concat_ws(" > ", b.model, a.model))))
     )
@@ -138,7 +147,7 @@ def detect(regions: DataFrame, cfg: DetectConfig = DETECT) -> DataFrame:
     return regions.withColumn("disagreements", F.when(F.size(h) < 2, few).otherwise(F.concat(*parts))).select(*given, "disagreements")
 
 
-def majority(words: Column, cfg: SelectConfig = SELECT) -> Column:
+def majority(words: Column, cfg: SelectConfig) -> Column:
     """The word with most votes, ties to the earlier voter; one that only the family says yields to another with an independent vote."""
 
     def ranked(said: Column) -> Column:
@@ -155,8 +164,13 @@ def majority(words: Column, cfg: SelectConfig = SELECT) -> Column:
     return let(F.filter(words, lambda w: w.word.isNotNull()), ranked)
 
 
-def propose(regions: DataFrame, strategy: str = "evidence_aware", cfg: SelectConfig = SELECT) -> DataFrame:
-    """Adds proposed_text, auto_proposable, requires_review, indicators and reasons. Never hides a critical conflict."""
+def propose(regions: DataFrame, cfg: SelectConfig, strategy: str = "evidence_aware") -> DataFrame:
+    """Adds proposed_text, auto_proposable, requires_review, indicators and reasons. Never hides a critical conflict.
+
+    An unknown strategy counts as ``evidence_aware``, with a warning.
+    """
+    if strategy not in STRATEGIES:
+        warnings.warn(f"unknown strategy {strategy!r}: evidence_aware is used", stacklevel=2)
     h, d, level = F.col("hyps"), F.col("disagreements"), F.col("overall")
     given = regions.columns
     agreed = lambda p: F.get(F.filter(F.transform(p.words, lambda w: w.word), lambda w: w.isNotNull()), F.lit(0))

@@ -1,31 +1,30 @@
-"""Whole groups in large Arrow batches: one shuffle and sort, no Python call per group."""
+"""Runs of rows over Arrow batches: rows that belong together come one after another."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
 
 
-def each_batch_of_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``work`` gets frames that hold whole groups, sorted by keys and order; groups must fit a task's memory."""
-    keys = list(keys)
+def whole_runs(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """The rows in tables that hold whole runs of equal, non-null values of an integer column.
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if held.empty:
-                continue
-            last = held[keys].iloc[-1]
-            tail = pd.Series(True, index=held.index)
-            for k in keys:
-                tail &= held[k].eq(last[k]) | (held[k].isna() & pd.isna(last[k]))
-            if not tail.all():
-                yield work(held[~tail].reset_index(drop=True))
-                held = held[tail].reset_index(drop=True)
-        if held is not None and not held.empty:
-            yield work(held)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    A run that goes on over many batches is put together once, when it ends.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        run = batch.column(column).to_numpy()
+        if held and held[-1].column(column)[-1].as_py() != run[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        last = int(np.flatnonzero(np.r_[True, run[1:] != run[:-1]])[-1])
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -6,7 +6,7 @@ Empty references count no characters; an empty prediction costs its whole refere
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.edit import word_distance
@@ -18,10 +18,10 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def scored(df: DataFrame, words: bool = True) -> DataFrame:
-    """Adds edits and lengths per row; the word distance is the only Arrow function."""
+    """Adds edits and lengths per row, all in the JVM."""
     gt, pr = F.coalesce("ground_truth", F.lit("")), F.coalesce("prediction", F.lit(""))
     split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    out = df.withColumns({"char_edits": F.levenshtein(gt, pr).cast("long"), "chars": F.length(gt).cast("long"), "exact": gt == pr, "gt_digits": digits(gt), "pred_digits": digits(pr)})
+    out = df.withColumns({"char_edits": F.when(gt == pr, 0).otherwise(F.levenshtein(gt, pr)).cast("long"), "chars": F.length(gt).cast("long"), "exact": gt == pr, "gt_digits": digits(gt), "pred_digits": digits(pr)})
     return out.withColumns({"word_edits": word_distance(split(gt), split(pr)), "words": F.size(split(gt)).cast("long")}) if words else out
 
 
@@ -35,12 +35,57 @@ def summary(rows: DataFrame, by: list[str], words: bool = True) -> DataFrame:
     return rows.groupBy(*by).agg(*wanted)
 
 
+SPLITS = 64
+
+
+def exact_percentiles(df: DataFrame, value: str, by: list[str], probabilities: list[float]) -> DataFrame:
+    """Per group the exact percentiles, linear between neighbours, as ``p50`` and so on; null and NaN are left out.
+
+    Equal values are counted first. The different values of a group are cut into ranges of about equal size; the counts of the
+    ranges say in which of them a rank lies, and only those ranges are sorted, each by itself. So a group may have any size.
+    """
+    x = F.col(value)
+    counts = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*by, x.cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = counts.groupBy(*by).agg(F.percentile_approx("_v", [i / SPLITS for i in range(1, SPLITS)], 1000).alias("_cuts"))
+    placed = counts.alias("c").join(cuts.alias("k"), [F.col(f"c.{c}").eqNullSafe(F.col(f"k.{c}")) for c in by])
+    placed = placed.select(*[F.col(f"c.{c}") for c in by], "_v", "_n", F.size(F.filter("_cuts", lambda s: s < F.col("_v"))).alias("_range"))
+    heap = placed.groupBy(*by, "_range").agg(F.sum("_n").alias("_sum"))
+    w = Window.partitionBy(*by)  # at most SPLITS rows a group
+    heap = heap.withColumns({"_upto": F.sum("_sum").over(w.orderBy("_range")), "_all": F.sum("_sum").over(w)}).withColumn("_before", F.col("_upto") - F.col("_sum"))
+    rank = F.array(*[F.struct(F.lit(f"p{p * 100:g}").alias("name"), (F.lit(p) * (F.col("_all") - 1)).alias("at")) for p in probabilities])
+    wanted = heap.withColumn("_p", F.explode(rank)).where((F.floor("_p.at") < F.col("_upto")) & (F.ceil("_p.at") >= F.col("_before")))
+    wanted = wanted.groupBy(*by, "_range", "_before").agg(F.collect_list("_p").alias("_ps"))
+    near = placed.alias("c").join(wanted.alias("k"), [F.col("c._range") == F.col("k._range")] + [F.col(f"c.{c}").eqNullSafe(F.col(f"k.{c}")) for c in by])
+    near = near.select(*[F.col(f"c.{c}") for c in by], F.col("c._range").alias("_range"), "_v", "_n", "_before", "_ps")
+    near = near.withColumn("_cum", F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_range").orderBy("_v"))).withColumn("_p", F.explode("_ps"))
+    ends = near.groupBy(*by, F.col("_p.name").alias("_name"), F.col("_p.at").alias("_at")).agg(*[F.min(F.when(F.col("_cum") > f("_p.at"), F.col("_v"))).alias(n) for n, f in (("_lo", F.floor), ("_hi", F.ceil))])
+    point = F.col("_lo") + (F.col("_at") - F.floor("_at")) * (F.col("_hi") - F.col("_lo"))
+    point = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(point)
+    return ends.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == f"p{p * 100:g}", point)).alias(f"p{p * 100:g}") for p in probabilities])
+
+
 def latency(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Mean, exact interpolated percentiles and extremes."""
-    q = lambda p: F.round(F.percentile(value, F.lit(p)), 6)
-    return df.groupBy(*by).agg(F.round(F.avg(value), 6).alias("mean"), q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.95).alias("p95"), F.round(F.min(value), 6).alias("least"), F.round(F.max(value), 6).alias("most"))
+    plain = df.groupBy(*by).agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.min(value), 6).alias("least"), F.round(F.max(value), 6).alias("most"))
+    points = exact_percentiles(df, value, by, [0.5, 0.9, 0.95])
+    joined = plain.alias("a").join(points.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by], "left")
+    return joined.select(*[F.col(f"a.{c}") for c in by], "mean", *[F.round(p, 6).alias(p) for p in ("p50", "p90", "p95")], "least", "most")
 
 
 def dataset_hash(df: DataFrame, order: str, digest: Column) -> DataFrame:
-    """SHA-256 of all row digests in order; a digest of digests, so the row count must fit one array."""
+    """SHA-256 of all row digests in order. One text of all digests by definition, so for tables that fit one row; see ``dataset_tree``."""
     return df.select(F.col(order).alias("o"), digest.alias("h")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "h"))), lambda r: r.h), ""), 256).alias("dataset_sha256"))
+
+
+def dataset_tree(df: DataFrame, key: str, digest: Column, width: int = 3) -> DataFrame:
+    """The same for tables of any size: digests are hashed in order of their keys within ``16 ** width`` leaves, then leaf by leaf."""
+    rows = df.select(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, width).alias("leaf"), F.col(key).alias("o"), digest.alias("h"))
+    joined = lambda c, f: F.array_join(F.transform(F.array_sort(F.collect_list(c)), f), "")
+    leaves = rows.groupBy("leaf").agg(F.sha2(joined(F.struct("o", "h"), lambda r: r.h), 256).alias("h"))
+    return leaves.agg(F.sha2(joined(F.struct("leaf", "h"), lambda r: r.h), 256).alias("tree_sha256"), F.count(F.lit(1)).alias("leaves"))
+
+
+def mean_probability(values: Column) -> Column:
+    """Mean of the token probabilities of a reading, null ones left out; 0.0 where there are none."""
+    there = F.filter(values, lambda v: v.isNotNull())
+    return F.coalesce(F.aggregate(there, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(there), F.lit(0)), F.lit(0.0))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from .grouped import each_batch_of_groups
+from pyspark.sql import types as T
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,16 +56,23 @@ def unresolved(regions: DataFrame, by: list[str]) -> DataFrame:
 
 
 def revision_fold(edits: DataFrame) -> DataFrame:
-    """Edits (doc, seq, expected) in order: one is taken if it expects the revision of that moment, which it raises."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, doc, revision = [], None, 0
-        for r in pdf.itertuples(index=False):
-            if r.doc != doc:
-                doc, revision = r.doc, 0
-            taken = bool(r.expected == revision)
-            revision += taken
-            out.append((r.doc, r.seq, taken, revision))
-        return pd.DataFrame(out, columns=["doc", "seq", "accepted", "revision"])
-
-    return each_batch_of_groups(edits.select("doc", "seq", "expected"), ["doc"], ["seq"], work, "doc long, seq long, accepted boolean, revision long")
+    """Edits (doc, seq, expected) in order: one is taken if it expects the revision of that moment, which it raises.
+
+    Only the current document and its revision are carried from batch to batch, however many edits it has.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, revision = None, 0
+        for batch in batches:
+            docs, wanted = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            taken, now = [], []
+            for d, expected in zip(docs, wanted):
+                if d != doc:
+                    doc, revision = d, 0
+                taken.append(expected == revision)
+                revision += taken[-1]
+                now.append(revision)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(taken, pa.bool_()), pa.array(now, pa.int64())], names=["doc", "seq", "accepted", "revision"])
+
+    rows = edits.select("doc", F.col("seq").cast("long"), F.col("expected").cast("long")).repartition("doc").sortWithinPartitions("doc", "seq")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:2], T.StructField("accepted", T.BooleanType()), T.StructField("revision", T.LongType())]))

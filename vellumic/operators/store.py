@@ -58,8 +58,8 @@ def link_attempts(proposals: DataFrame, attempts: DataFrame, keys: list[str]) ->
     return proposals.join(ids, keys, "left").withColumn("attempt_ids", F.array_union(there, F.coalesce("_ids", F.array().cast("array<string>")))).drop("_ids")
 
 
-def filtered(df: DataFrame, newest: str, most: int | None = 500, **equal: str | None) -> DataFrame:
-    """The conjunction of the filters that are given (None and blanks are not), newest first."""
+def filtered(df: DataFrame, newest: str, most: int | None = None, **equal: str | None) -> DataFrame:
+    """The conjunction of the filters that are given (None and blanks are not), newest first; ``most`` rows where a page is asked for."""
     for column, value in equal.items():
         if value is not None and str(value).strip():
             df = df.where(F.col(column) == value)

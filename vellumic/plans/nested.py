@@ -113,31 +113,63 @@ def polygon_points(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
 
 
-def _typed(columns: str, name: str, key: str, pages: str) -> str:
-    return f"SELECT DISTINCT '{name}' AS source_table, {key} AS record_id, {columns} FROM (SELECT *, unnest({pages}) AS p, unnest(range(len({pages}))) AS po FROM {name}) t"
-
-
 _BLOCK_SQL = ", ".join(f"b.{p} AS {p.replace('.', '_')}" for p in BLOCK_LEAVES)
 
 
-def _blocks_sql(name: str, key: str, pages: str) -> str:
-    return (
-        f"SELECT DISTINCT '{name}' AS source_table, rid AS record_id, CAST(po AS INTEGER) AS page_ord, CAST(bo AS INTEGER) AS block_ord, {_BLOCK_SQL} FROM ("
-        f"SELECT rid, po, unnest(p.blocks) AS b, unnest(range(len(p.blocks))) AS bo FROM (SELECT {key} AS rid, unnest({pages}) AS p, unnest(range(len({pages}))) AS po FROM {name})) WHERE b IS NOT NULL"
-    )
-
-
+def _pages_sql(name: str) -> str:
+    """rid, po, p: the pages of a typed table."""
+    pages, key = NESTED[name]
+    return f"SELECT {key} AS rid, unnest({pages}) AS p, unnest(range(len({pages}))) AS po FROM {name}"
+
+
+def _blocks_sql(name: str) -> str:
+    return f"SELECT '{name}' AS source_table, rid, po, p, unnest(p.blocks) AS b, unnest(range(len(p.blocks))) AS bo FROM ({_pages_sql(name)})"
+
+
+# pages of raw bodies: one document or one per line, wrapped in ``data`` or not, the result as JSON or as its text, one page or a list
+RAW = (
+    "rb AS (SELECT row_number() OVER () AS delivery, response_id AS rid, document_id, received_at, CASE WHEN json_valid(body) THEN [body] WHEN len(list_filter(string_split(body,chr(10)), lambda l: trim(l)<>''))>0 AND len(list_filter(string_split(body,chr(10)), lambda l: trim(l)<>'' AND NOT json_valid(l)))=0 THEN list_filter(string_split(body,chr(10)), lambda l: trim(l)<>'') END AS docs FROM raw_prescription_response), "
+    "rd AS (SELECT delivery, rid, unnest(docs) AS doc, unnest(range(len(docs))) AS dn FROM rb), "
+    "rr AS (SELECT delivery, rid, dn, coalesce(doc::JSON->'$.data.result', doc::JSON->'$.result') AS r FROM rd), "
+    "rl AS (SELECT delivery, rid, dn, (CASE WHEN json_type(r)='VARCHAR' THEN (r->>'$')::JSON ELSE r END)->'$.layoutParsingResults' AS l FROM rr), "
+    "re AS (SELECT delivery, rid, dn, CASE WHEN json_type(l)='ARRAY' THEN CAST(l AS JSON[]) WHEN json_type(l)='OBJECT' THEN [l] ELSE [] END AS ps FROM rl), "
+    "ru AS (SELECT delivery, rid, dn, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM re), "
+    "rp AS MATERIALIZED (SELECT delivery, rid, row_number() OVER (PARTITION BY delivery ORDER BY dn, i)-1 AS po, p, p->'$.prunedResult' AS pr FROM ru), "
+    "rbl AS (SELECT delivery, rid, po, pr, unnest(CAST(pr->'$.parsing_res_list' AS JSON[])) AS b, unnest(range(CAST(json_array_length(pr->'$.parsing_res_list') AS BIGINT))) AS bo FROM rp WHERE json_type(pr->'$.parsing_res_list')='ARRAY'), "
+    "rk AS MATERIALIZED (SELECT * FROM rbl WHERE json_type(b)='OBJECT')"
+)
+_INT = "CAST(trunc(TRY_CAST({} AS DOUBLE)) AS INTEGER)"
+_W, _H = _INT.format("pr->>'$.width'"), _INT.format("pr->>'$.height'")
+_RAW_BLOCKS = (
+    RAW + f", o AS (SELECT rid, po, bo, b, coalesce({_INT.format('b->>' + chr(39) + '$.block_order' + chr(39))}, bo+1) AS reading_order, nullif({_W},0)::DOUBLE AS w, nullif({_H},0)::DOUBLE AS h, pr->'$.layout_det_res.boxes' AS boxes, [TRY_CAST(x->>'$' AS DOUBLE) FOR x IN CAST(b->'$.block_bbox' AS JSON[])] AS c FROM rk), "
+    "q AS (SELECT *, coalesce(len(c),0)<4 AS few, greatest(0,least(c[1],w)) AS x1, greatest(0,least(c[2],h)) AS y1 FROM o), "
+    "q2 AS (SELECT *, greatest(x1+1,least(c[3],w)) AS x2, greatest(y1+1,least(c[4],h)) AS y2 FROM q), "
+    "q3 AS (SELECT *, round(x1/w*100,2) AS bx, round(y1/h*100,2) AS b_y, round((x2-x1)/w*100,2) AS bw, round((y2-y1)/h*100,2) AS bh FROM q2) "
+    "SELECT DISTINCT 'raw_prescription_response' AS source_table, rid AS record_id, CAST(po AS INTEGER) AS page_ord, CAST(bo AS INTEGER) AS block_ord, CAST(po AS INTEGER) AS page_index, b->>'$.block_id' AS block_id, coalesce(b->>'$.block_label','text') AS block_type, coalesce(b->>'$.block_content','') AS content, CAST(reading_order AS INTEGER) AS reading_order, "
+    "CASE WHEN json_type(boxes)='ARRAY' THEN round([TRY_CAST(z->>'$.score' AS DOUBLE) FOR z IN CAST(boxes AS JSON[]) IF TRY_CAST(z->>'$.order' AS DOUBLE)=reading_order][-1],4) END AS confidence, "
+    "CASE WHEN few THEN 5 ELSE bx END AS bounding_box_x, CASE WHEN few THEN 5 ELSE b_y END AS bounding_box_y, CASE WHEN few THEN 90 WHEN bx+bw>100 THEN greatest(0.1,round(100-bx,2)) ELSE bw END AS bounding_box_w, CASE WHEN few THEN 10 WHEN b_y+bh>100 THEN greatest(0.1,round(100-b_y,2)) ELSE bh END AS bounding_box_h FROM q3"
+)
+_TYPED_BLOCKS = " UNION ALL ".join(f"SELECT DISTINCT source_table, rid AS record_id, CAST(po AS INTEGER) AS page_ord, CAST(bo AS INTEGER) AS block_ord, {_BLOCK_SQL} FROM ({_blocks_sql(n)}) WHERE b IS NOT NULL" for n in NESTED)
+_TYPED_POINTS = " UNION ALL ".join(
+    f"SELECT DISTINCT source_table, rid AS record_id, CAST(po AS INTEGER) AS page_ord, CAST(bo AS INTEGER) AS block_ord, CAST(qo AS INTEGER) AS point_ord, CAST(xo AS INTEGER) AS axis, v AS value FROM (SELECT source_table, rid, po, bo, qo, unnest(q) AS v, unnest(range(len(q))) AS xo FROM "
+    f"(SELECT source_table, rid, po, bo, unnest(b.polygon) AS q, unnest(range(len(b.polygon))) AS qo FROM ({_blocks_sql(n)}))) WHERE v IS NOT NULL"
+    for n in NESTED
+)
 SQL = {
-    "p1_blocks": _blocks_sql("payload", "parsing_run.id", "parsing_run.pages") + " UNION ALL " + _blocks_sql("prescription_vl_result", "result_id", "pages"),
+    "p1_found": f"WITH {RAW} " + " UNION ".join(f"SELECT source_table, rid AS record_id, CAST(coalesce(p.page_index, po) AS INTEGER) AS page_index, b.block_id AS block_id FROM ({_blocks_sql(n)}) WHERE b IS NOT NULL" for n in NESTED)
+    + " UNION SELECT 'raw_prescription_response', rid, CAST(po AS INTEGER), b->>'$.block_id' FROM rk",
+    "p1_blocks": f"WITH raw AS (WITH {_RAW_BLOCKS}) {_TYPED_BLOCKS} UNION ALL SELECT * FROM raw",
+    "p1_pages": f"WITH {RAW} " + " UNION ".join(f"SELECT '{n}' AS source_table, rid AS record_id, CAST(po AS INTEGER) AS page_ord, p.page_index AS page_index, p.width AS width, p.height AS height, p.tables_count AS tables_count, NULL::VARCHAR AS inputImage FROM ({_pages_sql(n)}) WHERE p IS NOT NULL" for n in NESTED)
+    + f" UNION SELECT 'raw_prescription_response', rid, CAST(po AS INTEGER), NULL, {_W}, {_H}, NULL, p->>'$.inputImage' FROM rp WHERE json_type(p)='OBJECT'",
     "p1_runs": (
+        f"WITH {RAW}, n AS (SELECT delivery, count(*) AS pages FROM rp GROUP BY delivery), k AS (SELECT delivery, count(*) AS blocks FROM rk GROUP BY delivery), "
+        "d AS (SELECT rid, document_id, received_at, CASE WHEN docs IS NOT NULL THEN coalesce(pages,0) END AS pages, CASE WHEN docs IS NOT NULL THEN coalesce(blocks,0) END AS blocks FROM rb LEFT JOIN n USING (delivery) LEFT JOIN k USING (delivery)) "
         "SELECT DISTINCT 'payload' AS source_table, parsing_run.id AS record_id, parsing_run.document_id AS document_id, parsing_run.job_id AS job_id, parsing_run.provider_id AS provider_id, parsing_run.model_version AS model_version, "
         "parsing_run.page_count AS page_count, parsing_run.total_blocks AS total_blocks, parsing_run.execution_time_ms AS execution_time_ms FROM payload UNION ALL "
-        "SELECT DISTINCT 'prescription_vl_result', result_id, document_id, metadata.parameters.cloud_job_id, metadata.provider_name, metadata.model_version, metadata.parameters.pages_parsed, total_blocks, execution_time_ms FROM prescription_vl_result"
-    ),
-    "p1_polygon_points": (
-        "SELECT DISTINCT rid AS record_id, CAST(po AS INTEGER) AS page_ord, CAST(bo AS INTEGER) AS block_ord, CAST(qo AS INTEGER) AS point_ord, CAST(xo AS INTEGER) AS axis, v AS value FROM ("
-        "SELECT rid, po, bo, qo, unnest(q) AS v, unnest(range(len(q))) AS xo FROM (SELECT rid, po, bo, unnest(b.polygon) AS q, unnest(range(len(b.polygon))) AS qo FROM ("
-        "SELECT rid, po, unnest(p.blocks) AS b, unnest(range(len(p.blocks))) AS bo FROM (SELECT parsing_run.id AS rid, unnest(parsing_run.pages) AS p, unnest(range(len(parsing_run.pages))) AS po FROM payload)))) WHERE v IS NOT NULL"
+        "SELECT DISTINCT 'prescription_vl_result', result_id, document_id, metadata.parameters.cloud_job_id, metadata.provider_name, metadata.model_version, metadata.parameters.pages_parsed, total_blocks, execution_time_ms FROM prescription_vl_result UNION ALL "
+        "SELECT 'raw_prescription_response', rid, arg_min(document_id, (received_at, document_id)) FILTER (WHERE document_id IS NOT NULL), NULL, NULL, NULL, CAST(max(pages) AS INTEGER), CAST(max(blocks) AS INTEGER), NULL FROM d GROUP BY rid"
     ),
+    "p1_polygon_points": f"WITH {RAW}, g AS (SELECT rid, po, bo, unnest(CAST(b->'$.block_polygon_points' AS JSON[])) AS q, unnest(range(CAST(json_array_length(b->'$.block_polygon_points') AS BIGINT))) AS qo FROM rk WHERE json_type(b->'$.block_polygon_points')='ARRAY'), x AS (SELECT rid, po, bo, qo, unnest(CAST(q AS JSON[])) AS v, unnest(range(CAST(json_array_length(q) AS BIGINT))) AS xo FROM g WHERE json_type(q)='ARRAY') {_TYPED_POINTS} "
+    "UNION ALL SELECT DISTINCT 'raw_prescription_response', rid, CAST(po AS INTEGER), CAST(bo AS INTEGER), CAST(qo AS INTEGER), CAST(xo AS INTEGER), TRY_CAST(v->>'$' AS DOUBLE) FROM x WHERE TRY_CAST(v->>'$' AS DOUBLE) IS NOT NULL",
 }
 QUERIES = {"p1_found": found, "p1_runs": runs, "p1_pages": pages, "p1_blocks": blocks, "p1_polygon_points": polygon_points}
