@@ -42,14 +42,16 @@ def is_valid(a: Column) -> Column:
     return F.coalesce(a["x"].between(0, 100) & a["y"].between(0, 100) & (a["w"] > 0) & (a["w"] <= 100) & (a["h"] > 0) & (a["h"] <= 100) & (a["x"] + a["w"] <= 100.001) & (a["y"] + a["h"] <= 100.001), F.lit(False))
 
 
-def pair_cost(region: Column, block: Column, region_text: Column, block_text: Column, block_order: Column, cfg: AlignConfig = ALIGN) -> Column:
-    """Cost of matching a region with a block; ``impossible`` for boxes that are clearly apart. Texts as by ``cost_text``."""
-    overlap = iou(region, block)
-    apart = (overlap < cfg.least_iou) & (horizontal_overlap(region, block) < cfg.least_overlap)
+def cost_of(overlap: Column, across: Column, apart: Column, block_order: Column, region_text: Column, block_text: Column, cfg: AlignConfig = ALIGN) -> Column:
+    """Cost of a pair from its measures (IoU, horizontal overlap, distance of the centre lines); ``impossible`` for boxes that are clearly apart. Texts as by ``cost_text``."""
     order = F.when(F.coalesce(block_order, F.lit(0)) > 0, F.least(F.lit(1.0), block_order / cfg.order_reach)).otherwise(0.0)
-    text = edit_ratio(region_text, block_text)
-    cost = cfg.w_iou * (1 - overlap) + cfg.w_vertical * F.abs(vertical_center(region) - vertical_center(block)) / 100 + cfg.w_order * order + cfg.w_text * text
-    return F.when(apart, F.lit(cfg.impossible)).otherwise(cost)
+    cost = cfg.w_iou * (1 - overlap) + cfg.w_vertical * apart / 100 + cfg.w_order * order + cfg.w_text * edit_ratio(region_text, block_text)
+    return F.when((overlap < cfg.least_iou) & (across < cfg.least_overlap), F.lit(cfg.impossible)).otherwise(cost)
+
+
+def pair_cost(region: Column, block: Column, region_text: Column, block_text: Column, block_order: Column, cfg: AlignConfig = ALIGN) -> Column:
+    """Cost of matching a region with a block."""
+    return cost_of(iou(region, block), horizontal_overlap(region, block), F.abs(vertical_center(region) - vertical_center(block)), block_order, region_text, block_text, cfg)
 
 
 def cost_text(text: Column, cfg: AlignConfig = ALIGN) -> Column:

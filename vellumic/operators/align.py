@@ -40,13 +40,20 @@ def pages(regions: DataFrame, blocks: DataFrame, cfg: AlignConfig = ALIGN) -> Da
 
 def _pairs(regions: DataFrame, blocks: DataFrame, cfg: AlignConfig, outer: bool) -> DataFrame:
     """All pairs of each page, those of one page one after another; ``outer`` keeps pages of one side."""
-    each = F.explode_outer if outer else F.explode
+    each = F.posexplode_outer if outer else F.posexplode
     page = pages(regions, blocks, cfg).withColumn("_page", F.monotonically_increasing_id())
-    both = page.select(*PAGE, "_page", "bs", each("rs").alias("r")).select(*PAGE, "_page", "r", each("bs").alias("b"))
-    cost = G.pair_cost(F.col("r.box"), F.col("b.box"), F.col("r.text"), F.col("b.text"), F.col("b.reading_order"), cfg)
-    there = F.col("r").isNotNull() & F.col("b").isNotNull()
-    inside = F.coalesce(G.contains_center(F.col("b.box"), F.col("r.box")), F.lit(False))
-    return both.select(*PAGE, "_page", F.col("r.region").alias("region"), F.col("b.block").alias("block"), F.when(there, cost).alias("cost"), F.when(there, G.iou(F.col("r.box"), F.col("b.box"))).alias("iou"), inside.alias("inside"))
+    both = page.select(*PAGE, "_page", "bs", each("rs").alias("_r", "r")).select(*PAGE, "_page", "_r", "r", each("bs").alias("_b", "b"))
+    there = F.col("_r").isNotNull() & F.col("_b").isNotNull()
+    r, t = F.col("r.box"), F.col("b.box")
+    inside = F.coalesce(G.contains_center(t, r), F.lit(False))
+    places = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("_r", "_b")]
+    # measures first, each once: one long expression would be too large a method for the JVM to compile
+    measured = both.select(
+        *PAGE, "_page", *places, F.col("r.region").alias("region"), F.col("b.block").alias("block"), F.when(there, G.iou(r, t)).alias("iou"), inside.alias("inside"), G.horizontal_overlap(r, t).alias("_over"),
+        F.abs(G.vertical_center(r) - G.vertical_center(t)).alias("_apart"), F.col("r.text").alias("_rt"), F.col("b.text").alias("_bt"), F.col("b.reading_order").alias("_order"),
+    )
+    cost = G.cost_of(F.col("iou"), F.col("_over"), F.col("_apart"), F.col("_order"), F.col("_rt"), F.col("_bt"), cfg)
+    return measured.select(*PAGE, "_page", "_r", "_b", "region", "block", F.when(F.col("iou").isNotNull(), cost).alias("cost"), "iou", "inside")
 
 
 def cost_pairs(regions: DataFrame, blocks: DataFrame, cfg: AlignConfig = ALIGN) -> DataFrame:
@@ -95,58 +102,67 @@ def greedy(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
     return out
 
 
-def _assigned(region: np.ndarray, block: np.ndarray, cost: np.ndarray, cfg: AlignConfig, optimal: bool) -> list[int]:
-    """Rows of one page, sorted by region and block, that are assigned and cheap enough."""
-    cost = np.where(np.isnan(cost), cfg.impossible, cost)
-    rows, cols = np.unique(region), np.unique(block)
-    if len(rows) == 1 or len(cols) == 1:  # the cheapest pair
-        best = int(np.argmin(cost))
-        return [best] if cost[best] <= cfg.most_cost else []
-    at = np.full((len(rows), len(cols)), -1)
-    at[np.searchsorted(rows, region), np.searchsorted(cols, block)] = np.arange(len(cost))
-    table = np.where(at >= 0, cost[at], cfg.impossible)
-    found = hungarian(table) if optimal else greedy([(i, j, table[i, j]) for i in range(len(rows)) for j in range(len(cols))])
-    return [int(at[i, j]) for i, j in found if at[i, j] >= 0 and table[i, j] <= cfg.most_cost]
-
-
-def _each_page(pairs: DataFrame, fields: list[T.StructField], work: Callable[[dict[str, np.ndarray]], tuple[list[int], dict[str, list]]]) -> DataFrame:
-    """``work`` gets the columns of one page and says which rows stay, and the values of further columns."""
-    kept = [pairs.schema[c] for c in (*PAGE, "region", "block")]
-    schema = T.StructType([*kept, *fields])
+def _assigned(table: np.ndarray, cfg: AlignConfig, optimal: bool) -> list[int]:
+    """Places of a page's cost table, row by row, that are assigned and cheap enough."""
+    n, m = table.shape
+    if optimal and n <= m and len(set(best := table.argmin(axis=1).tolist())) == n:
+        found = enumerate(best)  # each row has its cheapest: nothing is cheaper
+    elif optimal and m < n and len(set(best := table.argmin(axis=0).tolist())) == m:
+        found = [(i, j) for j, i in enumerate(best)]
+    else:
+        found = hungarian(table) if optimal else greedy([(i, j, table[i, j]) for i in range(n) for j in range(m)])
+    return [i * m + j for i, j in found if table[i, j] <= cfg.most_cost]
+
+
+class _Pages:
+    """A batch of whole pages: the columns of their pairs, and numbers for their regions and blocks."""
+
+    def __init__(self, table: pa.Table, cfg: AlignConfig):
+        get = lambda c: table.column(c).to_numpy()
+        page, r, b = get("_page"), get("_r"), get("_b")
+        self.cost, self.iou, self.inside = get("cost"), get("iou"), get("inside")
+        self.cost = np.where(np.isnan(self.cost), cfg.impossible, self.cost)
+        self.has_region, self.has_block = r >= 0, b >= 0
+        bounds = np.flatnonzero(np.r_[True, page[1:] != page[:-1], True])
+        self.low, self.size = bounds[:-1], np.diff(bounds)
+        self.blocks = b[bounds[1:] - 1].clip(0) + 1  # of each page
+        regions = self.size // self.blocks
+        first = lambda n: np.repeat(np.cumsum(n) - n, self.size)
+        self.region, self.block = first(regions) + r.clip(0), first(self.blocks) + b.clip(0)
+        self.n_regions, self.n_blocks = int(regions.sum()), int(self.blocks.sum())
+
+    def assigned(self, cfg: AlignConfig, optimal: bool) -> np.ndarray:
+        out: list[int] = []
+        for low, size, blocks, whole in zip(self.low.tolist(), self.size.tolist(), self.blocks.tolist(), (self.has_region & self.has_block)[self.low].tolist()):
+            if whole:
+                out += [low + i for i in _assigned(self.cost[low : low + size].reshape(-1, blocks), cfg, optimal)]
+        return np.array(out, np.int64)
+
+
+def _each_batch(pairs: DataFrame, fields: list[T.StructField], cfg: AlignConfig, work: Callable[[_Pages], tuple[np.ndarray, dict[str, np.ndarray]]]) -> DataFrame:
+    """``work`` says which pairs of a batch of pages stay, and gives the values of further columns."""
+    schema = T.StructType([*[pairs.schema[c] for c in (*PAGE, "region", "block")], *fields])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = to_arrow_schema(schema)
         for table in whole_runs(batches, "_page"):
-            number = {c: table.column(c).to_numpy() for c in ("_page", "cost", "iou")} | {c: table.column(c).fill_null(-1).to_numpy() for c in ("region", "block")}
-            number |= {"inside": table.column("inside").to_numpy(), "has_region": table.column("region").is_valid().to_numpy(), "has_block": table.column("block").is_valid().to_numpy()}
-            bounds = np.flatnonzero(np.r_[True, number["_page"][1:] != number["_page"][:-1], True])
-            take: list[int] = []
-            more: dict[str, list] = {f.name: [] for f in fields}
-            for lo, hi in zip(bounds[:-1], bounds[1:]):
-                rows, values = work({c: v[lo:hi] for c, v in number.items()})
-                take += [lo + i for i in rows]
-                for name, v in values.items():
-                    more[name] += v
-            picked = table.select([f.name for f in kept]).take(pa.array(take, pa.int64()))
-            columns = dict(zip(picked.column_names, picked.columns)) | {n: pa.array(v, target.field(n).type) for n, v in more.items()}
-            if "status" in columns:  # a row of the other side stands for what is left over
-                status = np.array(more["status"], object)
+            keep, more = work(_Pages(table, cfg))
+            picked = table.select([*PAGE, "region", "block"]).take(pa.array(keep))
+            columns = dict(zip(picked.column_names, picked.columns)) | {n: pa.array(v, target.field(n).type, from_pandas=True) for n, v in more.items()}
+            if "status" in columns:  # a pair stands for what is left over of one of its sides
                 for name, gone in (("region", "unmatched_block"), ("block", "unmatched_region")):
-                    columns[name] = pc.if_else(pa.array(status != gone, pa.bool_()), columns[name], pa.scalar(None, columns[name].type))
+                    columns[name] = pc.if_else(pa.array(more["status"] != gone, pa.bool_()), columns[name], pa.scalar(None, columns[name].type))
             yield from pa.table([columns[n] for n in target.names], names=target.names).cast(target).to_batches()
 
     return pairs.mapInArrow(run, schema)
 
 
-_COST = [T.StructField("cost", T.DoubleType())]
-
-
 def _assign(regions: DataFrame, blocks: DataFrame, cfg: AlignConfig, optimal: bool) -> DataFrame:
-    def work(page: dict[str, np.ndarray]) -> tuple[list[int], dict[str, list]]:
-        keep = _assigned(page["region"], page["block"], page["cost"], cfg, optimal)
-        return keep, {"cost": page["cost"][keep].tolist()}
+    def work(page: _Pages) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        keep = page.assigned(cfg, optimal)
+        return keep, {"cost": page.cost[keep]}
 
-    return _each_page(_pairs(regions, blocks, cfg, False), _COST, work)
+    return _each_batch(_pairs(regions, blocks, cfg, False), [T.StructField("cost", T.DoubleType())], cfg, work)
 
 
 def assign_optimal(regions: DataFrame, blocks: DataFrame, cfg: AlignConfig = ALIGN) -> DataFrame:
@@ -173,25 +189,22 @@ def align(regions: DataFrame, blocks: DataFrame, cfg: AlignConfig = ALIGN) -> Da
     """
     fields = [T.StructField("status", T.StringType()), T.StructField("iou", T.DoubleType()), T.StructField("cost", T.DoubleType())]
 
-    def work(page: dict[str, np.ndarray]) -> tuple[list[int], dict[str, list]]:
-        region, block = page["region"], page["block"]
-        pair = page["has_region"] & page["has_block"]
-        one = _assigned(region, block, page["cost"], cfg, True) if pair.all() else []
-        rest = np.flatnonzero(page["inside"] & ~np.isin(region, region[one]) & ~np.isin(block, block[one]))
-        many = rest[np.unique(region[rest], return_index=True)[1]]  # the first block that holds a region
-        free_r = np.flatnonzero(page["has_region"] & ~np.isin(region, region[one]) & ~np.isin(region, region[many]))
-        free_b = np.flatnonzero(page["has_block"] & ~np.isin(block, block[one]) & ~np.isin(block, block[many]))
-        free_r, free_b = (x[np.unique(page[c][x], return_index=True)[1]] for c, x in (("region", free_r), ("block", free_b)))
-        parts = [one, many.tolist(), free_r.tolist(), free_b.tolist()]
-        matched = [*one, *many.tolist()]
-        none = [None] * (len(free_r) + len(free_b))
-        return [i for p in parts for i in p], {
-            "status": [s for s, p in zip(STATUS, parts) for _ in p],
-            "iou": page["iou"][matched].tolist() + none,
-            "cost": page["cost"][one].tolist() + [None] * len(many) + none,
-        }
-
-    rows = _each_page(_pairs(regions, blocks, cfg, True), fields, work)
+    def work(page: _Pages) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        one = page.assigned(cfg, True)
+        used_r, used_b = ~np.ones(page.n_regions, bool), ~np.ones(page.n_blocks, bool)
+        used_r[page.region[one]], used_b[page.block[one]] = True, True
+        rest = np.flatnonzero(page.inside & ~used_r[page.region] & ~used_b[page.block])
+        many = rest[np.unique(page.region[rest], return_index=True)[1]]  # the first block that holds a region
+        used_r[page.region[many]], used_b[page.block[many]] = True, True
+        free_r, free_b = (np.unique(c, return_index=True)[1] for c in (page.region, page.block))  # a pair of each
+        free_r = free_r[page.has_region[free_r] & ~used_r[page.region[free_r]]]
+        free_b = free_b[page.has_block[free_b] & ~used_b[page.block[free_b]]]
+        parts = [one, many, free_r, free_b]
+        none = np.full(len(free_r) + len(free_b), np.nan)
+        status = np.repeat(np.array(STATUS, object), [len(p) for p in parts])
+        return np.concatenate(parts), {"status": status, "iou": np.r_[page.iou[one], page.iou[many], none], "cost": np.r_[page.cost[one], np.full(len(many), np.nan), none]}
+
+    rows = _each_batch(_pairs(regions, blocks, cfg, True), fields, cfg, work)
     return rows.select(*PAGE, "region", "block", "status", F.round("iou", 4).alias("iou"), confidence(F.col("status"), F.col("cost"), cfg).alias("confidence"))
 
 

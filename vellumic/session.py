@@ -17,6 +17,7 @@ def local_session(cpus: int | str = 8, memory: str = "12g", **conf: str) -> Spar
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")  # small inputs, costly rows: keep the cores busy
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
