@@ -59,6 +59,49 @@ def test_validators():
     assert ("id_number", "GB82 WEST 1234 5698 7654 32") in got(iban)
 
 
+CARD, BAD_CARD = "4111 1111 1111 1111", "4111 1111 1111 1112"
+IBAN, BAD_IBAN = "GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 33"
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        (f"Paid with {CARD} at noon.", [CARD]),  # confirmed: no label is needed
+        (f"Passport number: {BAD_CARD}, he said.", []),  # refused: no label helps
+        (f"IBAN {IBAN} as told.", [IBAN]),
+        (f"Insurance number: {BAD_IBAN}.", []),
+        ("National ID: 234567890124.", ["234567890124"]),
+        ("seen as 234567890124 there", ["234567890124"]),
+        ("National ID: 234567890123.", []),
+        ("SSN 000-12-3456.", []),
+    ],
+)
+def test_checks_decide(text, want):
+    assert [text[s.start : s.end] for s in P.mentions(text) if s.kind == "id_number"] == want
+
+
+def test_without_checks_the_outcome_is_another(monkeypatch):
+    texts = [f"Paid with {CARD} at noon.", f"Passport number: {BAD_CARD}.", f"IBAN {IBAN}.", "SSN 000-12-3456."]
+    before = [len(P.mentions(t)) for t in texts]
+    monkeypatch.setattr(P, "CHECKED", dict.fromkeys(P.CHECKED, 0.0))
+    assert before == [1, 0, 1, 0] and [len(P.mentions(t)) for t in texts] == [0, 1, 0, 1]
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Later Miss Ada Brook rang.", ["Ada Brook"]),
+        ("The nurse Ada Brook said it hurt.", ["Ada Brook"]),
+        ("Only Ada Brook knew of it.", []),
+        ("According to Yorin Okrest it rained. Then Yorin Okrest left.", ["Yorin Okrest", "Yorin Okrest"]),
+        ("Signed at Harrow Street by the clerk.", []),
+        ("Then Fever Ward said no.", []),
+    ],
+)
+def test_names_by_shape_and_context(text, want):
+    assert [text[s.start : s.end] for s in P.mentions(text) if s.kind == "name"] == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("aB1 .@-(\n+", max_size=80))
 def test_redaction_keeps_all_else(text):

@@ -1,7 +1,9 @@
 """Personal information in free text, replaced by typed placeholders (problem 5).
 
-Regular expressions propose spans with a first score. Validators confirm number formats: Luhn,
-mod-97, Verhoeff and the rules of issued number ranges. Words near a span raise or lower its score.
+Regular expressions propose spans with a first score. Validators decide where a format has a check digit or ranges
+that are never issued (Luhn, mod-97, Verhoeff): a confirmed number stands without any label, a refused one
+not even with one; numbers of formats without a check are left to the context. Words near a span raise or lower its score, for names
+too: any given name or initial with a surname is proposed by its shape, and a title, a role, a verb or another mention decides.
 Spans from ``THRESHOLD`` on are kept; where spans overlap, the higher score, then the longer span wins.
 
 Texts are searched whole, one Arrow batch at a time, without a shuffle but for the final ``distinct``.
@@ -85,18 +87,37 @@ PHONE_LABEL = re.compile(r"(?:\b(?:te[l1i]|te[l1i]ephone|phone|fax|ca[l1i]{2}|mo
 #: The digit groups of number plans that need no label.
 PHONE_STRONG = re.compile(r"^(?:\+|00\d|\(\d|0\d{2,4}[\s-]\d{3,4}[\s-]?\d{3,4}$|1-8\d\d-|\d{3}-555-|07\d{3}\s)")
 
-ID_FORMATS: list[tuple[re.Pattern, float, Callable[[str], bool]]] = [
-    (re.compile(r"(?<![\w-])[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D](?![\w-])"), 0.6, lambda t: t[0] not in "DFIUV" and t[1] not in "DFIUVO"),
-    (re.compile(rf"(?<![\w-])\d{{3}}{HY}\n?\d{{2}}{HY}\n?\d{{4}}(?![\w-])"), 0.6, lambda t: digits_of(t)[:3] not in ("000", "666")),
-    (re.compile(r"(?<![\w-])\d{4}\s\d{4}\s\d{4}(?![\w-]|\s\d{4})"), 0.45, verhoeff),
-    (re.compile(r"(?<![\w-])\d{12}(?![\w-])"), 0.45, verhoeff),
-    (re.compile(rf"(?<![\w-])\d{{5}}{HY}\n?\d{{4}}{HY}\n?\d{{2}}[A-Z](?![\w-])"), 0.6, lambda t: True),
-    (re.compile(r"(?<![\w-])[A-Z]{2}\d{2}\s\d{7,11}(?![\w-])"), 0.6, lambda t: True),
-    (re.compile(r"(?<![\w-])[A-Z]\d{7,8}(?![\w-])"), 0.5, lambda t: True),
-    (re.compile(r"(?<![\w-])[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?(?![\w-])"), 0.2, mod97),
-    (re.compile(r"(?<![\w-])\d{4}(?:[\s-]?\d{4}){3}(?![\w-])"), 0.2, luhn),
-    (re.compile(rf"(?<![\w-])(?=(?:[A-Z\s-]*\d){{6}})[A-Z0-9]{{2,}}(?:(?:\s|{HY}\n?)[A-Z0-9]{{2,}}){{0,4}}(?![\w-])"), 0.2, lambda t: False),
+#: What a validator's answer adds to a score; None: the format has no check, or not for this number.
+CHECKED = {True: 0.5, False: -0.5, None: 0.0}
+
+
+def ssn_range(text: str) -> bool | None:
+    """Areas 000 and 666 are never issued."""
+    return False if digits_of(text)[:3] in ("000", "666") else None
+
+
+def twelve(text: str) -> bool | None:
+    """Issued numbers of this form begin with 2 to 9 and end in a check digit; others are some other register's."""
+    return verhoeff(text) if digits_of(text)[0] in "23456789" else None
+
+
+def unchecked(text: str) -> None:
+    return None
+
+
+ID_FORMATS: list[tuple[re.Pattern, float, Callable[[str], bool | None]]] = [
+    (re.compile(r"(?<![\w-])[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D](?![\w-])"), 0.6, unchecked),
+    (re.compile(rf"(?<![\w-])\d{{3}}{HY}\n?\d{{2}}{HY}\n?\d{{4}}(?![\w-])"), 0.6, ssn_range),
+    (re.compile(r"(?<![\w-])\d{4}\s\d{4}\s\d{4}(?![\w-]|\s\d{4})"), 0.45, twelve),
+    (re.compile(r"(?<![\w-])\d{12}(?![\w-])"), 0.45, twelve),
+    (re.compile(rf"(?<![\w-])\d{{5}}{HY}\n?\d{{4}}{HY}\n?\d{{2}}[A-Z](?![\w-])"), 0.6, unchecked),
+    (re.compile(r"(?<![\w-])[A-Z]{2}\d{2}\s\d{7,11}(?![\w-])"), 0.6, unchecked),
+    (re.compile(r"(?<![\w-])[A-Z]\d{7,8}(?![\w-])"), 0.6, unchecked),
+    (re.compile(r"(?<![\w-])[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?(?![\w-])"), 0.3, lambda t: mod97(t) if len(re.sub(r"\s", "", t)) > 14 else None),
+    (re.compile(r"(?<![\w-])\d{4}(?:[\s-]?\d{4}){3}(?![\w-])"), 0.3, luhn),
+    (re.compile(rf"(?<![\w-])(?=(?:[A-Z\s-]*\d){{6}})[A-Z0-9]{{2,}}(?:(?:\s|{HY}\n?)[A-Z0-9]{{2,}}){{0,4}}(?![\w-])"), 0.2, unchecked),
 ]
+SIX_DIGITS = re.compile(r"(?:\d\D*){6}")  # every format and every phone number holds six
 ID_LABEL = re.compile(
     r"(?:passport|citizen(?:ship)?|nationa[l1i]|personal|soc[i1l]a[l1i]\s+\S{6,9}|insurance|identity|\bID\s+card|\b[i1l]d\b|driv[i1l]n[gq9]|driver'?s|licen[cs]e|lieence|tax(?:payer)?|\bNIN\b|\bSSN\b)\W*(?:(?:[i1l]d|card|number|nurnber|numbcr|no|n0|licen[cs]e|[l1i]ieence|licencc|security|identification)\W*){0,3}$",
     re.IGNORECASE,
@@ -126,7 +147,9 @@ _TITLE = r"(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Pt|Sr|Herr|Frau|Dra|Don|Doña)\b\.?\s+)"
 NAME_BEFORE = re.compile(
     rf"(?:\b(?:Pt|Mrs|Mr|Ms|Dr|Prof|PT|MRS|MR|DR)\.\s+|\b(?:Pat[i1l]en[tf]\s+nam[ec]|N[ao]m[ec]|Narn[ec])\b:?\s+{_TITLE}?|\bS[i1l][gq9]n[ec](?:d|cl)\b:?\s+(?:by\s+)?{_TITLE}?|\bAcc[o0]r(?:d|cl)[i1l]n[gq9]\s+t[o0]\s+{_TITLE}?|\b[hb]a[nu](?:d|cl)[ec](?:d|cl)\s+t[o0]\s+{_TITLE}?|\b[kKl][i1l][nu]:\s+{_TITLE}?|\bA[tf]{{2}}[ec]n(?:d|cl)[ec](?:d|cl)\s+[b6hB]y\s+{_TITLE}?|\b(?:Dear|Contact|Mother|Father|Wife|Husband|Daughter|Son):?\s+{_TITLE})(?P<name>{NAME})"
 )
-NAME_AFTER = re.compile(rf"(?<![^\W_]['’])(?<![\w@.-])(?P<name>{NAME})\s+[ao][s5]k[ec](?:d|cl)\s+[ft][o0]r\s+t[hb][ec]\b")
+AFTER = re.compile(r"\s+[ao][s5]k[ec](?:d|cl)\s+[ft][o0]r\s+t[hb][ec]\b")
+NAME_AT_END = re.compile(rf"(?<![^\W_]['’])(?<![\w@.-])(?P<name>{NAME})$")
+LONGEST_NAME = 120
 NAME_IN_HEAD = re.compile(rf"(?:\s/\s|:\s|\s-\s(?:P[tf]\.|PT\.)\s)(?P<name>{NAME})(?=[^\S\n]*(?:[^\S\n]{{2,}}\S{{1,4}}[^\S\n]*)?(?:\n|$))")
 #: Words that name an institution, a book or a form and not a person.
 NO_NAME = re.compile(
@@ -134,6 +157,13 @@ NO_NAME = re.compile(
 )
 
 
+#: Words of a person's role before a name, what persons do after it, and titles.
+ROLE = re.compile(r"(?i)\b(?:patient|name|named|signed|witness(?:ed)?|nurse|doctor|surgeon|informant|mother|father|wife|husband|daughter|son|brother|sister|widow|kin|contact|attended by|seen by|accompanied by|brought by|reported by|written by|dear)\b[:,]?\s+$")
+TITLE_BEFORE = re.compile(r"(?<![^\W_])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Pt|Sr|Herr|Frau|Dra|Don|Doña)\b\.?\s+$")
+DOES = re.compile(r"\s+(?:said|says|asked|told|agreed|refused|signed|complains|complained|reports|reported|lives|lived|wishes|wrote|writes|died|was born|was admitted|was discharged)\b")
+SHAPE = re.compile(r"(?<![\w@.'’-])(?=((?:[A-Z][a-z]+(?:['’-][A-Z]?[a-z]+)?|[A-Z]\.)(?:[^\S\n]+[A-Z]\.)?[^\S\n]+(?:[A-Z]['’])?[A-Z][a-z]+(?:-[A-Z][a-z]+)?(?![\w@])))[A-Z]")  # from every word on: the first of a sentence is no given name
+
+
 def emails(text: str) -> Iterator[Span]:
     if not re.search(r"[@＠]|\bat\b|[\[({]at", text, re.IGNORECASE):
         return
@@ -142,6 +172,8 @@ def emails(text: str) -> Iterator[Span]:
 
 
 def phones(text: str) -> Iterator[Span]:
+    if not SIX_DIGITS.search(text):
+        return
     for m in PHONE.finditer(text):
         raw = m[0]
         number = re.split(r"(?i)\s*,?\s*(?:ext|x)", raw)[0]
@@ -162,10 +194,18 @@ def phones(text: str) -> Iterator[Span]:
 
 
 def id_numbers(text: str) -> Iterator[Span]:
-    for pattern, base, valid in ID_FORMATS:
+    if not SIX_DIGITS.search(text):
+        return
+    refused: list[tuple[int, int]] = []  # the forms further down have no say about these
+    for pattern, base, check in ID_FORMATS:
         for m in pattern.finditer(text):
+            if any(m.start() < e and s < m.end() for s, e in refused):
+                continue
+            answer = check(m[0])
+            if answer is False:
+                refused.append(m.span())
             before = text[max(0, m.start() - 45) : m.start()]
-            score = base + (0.1 if valid(m[0]) else 0)
+            score = base + CHECKED[answer]
             if ID_LABEL.search(before):
                 score += 0.45
             if PHONE_LABEL.search(before):
@@ -190,18 +230,50 @@ def addresses(text: str) -> Iterator[Span]:
         yield Span(m.start(), end, "address", 0.9)
 
 
+def cued_names(text: str) -> Iterator[Span]:
+    """Names at the places where forms and sentences name a person, in any case and order."""
+    for m in NAME_BEFORE.finditer(text):
+        if not NO_NAME.search(m["name"]):
+            yield Span(m.start("name"), m.end("name"), "name", 0.9)
+    for cue in AFTER.finditer(text):
+        begin = max(0, cue.start() - LONGEST_NAME)
+        m = NAME_AT_END.search(text[begin : cue.start()])
+        if m and not NO_NAME.search(m["name"]):
+            yield Span(begin + m.start("name"), cue.start(), "name", 0.9)
+    for m in NAME_IN_HEAD.finditer(text):
+        if NO_NAME.search(m["name"]):
+            continue
+        begin = text.rfind("\n", 0, m.start("name")) + 1
+        if text[max(0, begin - 2) : begin].strip("\n") or not re.match(r"[^\n]*(?:\n[^\S\n]*(?:\n|$)|$)", text[m.end("name") :]):
+            continue  # a head is a line of its own
+        if not NO_NAME.search(text[begin : m.start("name")]) or re.search(r"(?i)\b(?:e-?mail|te[l1]|phone|fax|no)\b\W*$", text[begin : m.start("name")]):
+            continue
+        yield Span(m.start("name"), m.end("name"), "name", 0.8)
+
+
+def name_words(name: str) -> frozenset[str]:
+    return frozenset(w.casefold() for w in re.findall(r"[^\W\d_]{2,}", name))
+
+
 def names(text: str) -> Iterator[Span]:
-    for pattern, score in ((NAME_BEFORE, 0.9), (NAME_AFTER, 0.9), (NAME_IN_HEAD, 0.8)):
-        for m in pattern.finditer(text):
-            if NO_NAME.search(m["name"]):
-                continue
-            if pattern is NAME_IN_HEAD:
-                begin = text.rfind("\n", 0, m.start("name")) + 1
-                if text[max(0, begin - 2) : begin].strip("\n") or not re.match(r"[^\n]*(?:\n[^\S\n]*(?:\n|$)|$)", text[m.end("name") :]):
-                    continue  # a head is a line of its own
-                if not NO_NAME.search(text[begin : m.start("name")]) or re.search(r"(?i)\b(?:e-?mail|te[l1]|phone|fax|no)\b\W*$", text[begin : m.start("name")]):
-                    continue
-            yield Span(m.start("name"), m.end("name"), "name", score)
+    """Cued names, and others by their shape: what stands around them, or another mention, makes them persons."""
+    cued = list(cued_names(text))
+    yield from cued
+    known = {name_words(text[s.start : s.end]) for s in cued}
+    for m in SHAPE.finditer(text):
+        if NO_NAME.search(m[1]) or NO_NAME.match(text, m.end(1) + 1):
+            continue
+        before = text[max(0, m.start() - 40) : m.start()]
+        score = 0.25
+        if TITLE_BEFORE.search(before):
+            score += 0.35
+        if ROLE.search(before):
+            score += 0.2
+        if DOES.match(text, m.end(1)):
+            score += 0.2
+        if name_words(m[1]) in known:
+            score += 0.4
+        yield Span(m.start(), m.end(1), "name", score)
 
 
 def mentions(text: str | None) -> list[Span]:
@@ -257,7 +329,7 @@ def _map(df: DataFrame, schema: str, work: Callable[[tuple], Iterable[tuple]]) -
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per mention."""
+    """One row per mention. Deliveries of one text are worked on each; only their mentions are shuffled."""
     from ..session import spread, wide_batches
 
     wide_batches(spark)
