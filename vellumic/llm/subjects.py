@@ -92,10 +92,12 @@ def encode(text: str | None) -> tuple[list[int], list[int]]:
 
 
 def sums(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Rows added up by group."""
-    if not values.shape[1]:
-        return np.zeros((n, 0))
-    return np.stack([np.bincount(at, weights=values[:, i], minlength=n) for i in range(values.shape[1])], axis=1) if n else np.zeros((0, values.shape[1]))
+    """Rows added up by group; the rows of a group come one after another, in the order of the groups."""
+    out = np.zeros((n, values.shape[1]))
+    if len(values):
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        out[at[first]] = np.add.reduceat(values, first, axis=0)
+    return out
 
 
 @dataclass
@@ -178,12 +180,19 @@ class Counts:
         self.document = np.zeros((size, areas))
 
     def add(self, batch: Batch, shares: np.ndarray) -> None:
-        here, place = np.unique(batch.word, return_inverse=True)
-        self.sentence[here] += sums(shares[batch.at], place, len(here))
+        if not len(batch.word):
+            return
+        order = np.argsort(batch.word, kind="stable")
+        word, at = batch.word[order], batch.at[order]
+        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        self.sentence[word[first]] += np.add.reduceat(shares[at], first, axis=0)
         total = sums(shares, batch.doc, batch.docs)
         total /= np.maximum(total.sum(axis=1, keepdims=True), 1e-9)
-        once = np.unique(batch.doc[batch.at].astype(np.int64) * len(here) + place)  # each feature once per document
-        self.document[here] += sums(total[once // len(here)], once % len(here), len(here)) if len(here) else 0
+        doc = batch.doc[at]
+        once = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])])  # each feature once per document
+        word, doc = word[once], doc[once]
+        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        self.document[word[first]] += np.add.reduceat(total[doc], first, axis=0)
 
 
 def about(model: Model, batch: Batch) -> Iterator[tuple[int, str, int, int, float]]:
