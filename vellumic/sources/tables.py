@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -38,3 +39,29 @@ def pruned(schema: T.StructType, paths: list[str]) -> T.StructType:
 def nested_table(spark: SparkSession, folder: str, name: str, paths: list[str]) -> DataFrame:
     path = f"{folder}/{name}.parquet"
     return spark.read.schema(pruned(spark.read.parquet(path).schema, paths)).parquet(path)
+
+
+#: Repeated keys that every task may hold.
+REPEATED = 1_000_000
+
+
+def first_deliveries(df: DataFrame, key: str, order: str, most: int = REPEATED) -> DataFrame:
+    """One row per key, the first by ``order``; rows of one key are taken to be equal in all else.
+
+    Only keys and order are shuffled while at most ``most`` keys are repeated: these are broadcast, and the rows pass by them where
+    they lie. Beyond that, or where a first row is there twice, whole rows are grouped. A null key is a key.
+    """
+    per = df.groupBy(key, F.struct(order).alias("_o")).agg(F.count(F.lit(1)).alias("_n"))
+    again = per.groupBy(key).agg(F.min("_o").alias("_first"), F.sum("_n").alias("_all"), F.max("_n").alias("_most")).where("_all > 1")
+    rows = again.select(F.col(key).alias("_key"), F.col(f"_first.{order}").alias("_first"), "_most").limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        return df.dropDuplicates([key])
+    if not rows.num_rows:
+        return df
+    ties = max(rows.column("_most").to_pylist()) > 1
+    known = df.sparkSession.createDataFrame(rows).withColumn("_again", F.lit(True)).drop("_most")
+    met = df.join(F.broadcast(known), F.col(key).eqNullSafe(F.col("_key")), "left")
+    own = met.where(F.col("_again").isNull() | F.col("_first").eqNullSafe(F.col(order)))
+    if not ties:
+        return own.select(*df.columns)
+    return met.where("_again IS NULL").unionByName(own.where("_again").dropDuplicates([key])).select(*df.columns)
