@@ -28,6 +28,21 @@ def test_what_shows_stays(canon, a, b):
     assert canon(a) != canon(b)
 
 
+def test_compatibility_forms_in_the_wide_form():
+    con = duckdb.connect()
+    wide = lambda s: con.execute(f"SELECT {L._plain('x', True)} FROM (SELECT ? AS x)", [s]).fetchone()[0]
+    assert [wide(x) for x in ("ﬁnd", "Ⅳ", "ｶﾞ", "￦", "ｗ", "m²", "𝐇")] == ["find", "IV", "ガ", "₩", "w", "m²", "𝐇"]
+    assert all(wide(wide(a)) == wide(a) for pair in SAME + DIFFERENT for a in pair)
+
+
+@pytest.mark.parametrize("text", [*[x for pair in SAME + DIFFERENT for x in pair], "", "ﬁ Ⅷ ﾊﾟ", None])
+@pytest.mark.parametrize("wide", [False, True])
+def test_equals_the_form_by_characters(text, wide):
+    con = duckdb.connect()
+    a, b = con.execute(f"SELECT {L._plain('x', wide)}, {L._by_character('x', wide)} FROM (SELECT CAST(? AS VARCHAR) AS x)", [text]).fetchone()
+    assert a == b
+
+
 def test_canonical_is_stable_and_ascii_is_untouched(canon):
     for a, b in SAME + DIFFERENT:
         assert canon(canon(a)) == canon(a) and canon(canon(b)) == canon(b)
