@@ -6,10 +6,14 @@ replacement after Efraimidis and Spirakis: each document draws an exponential ke
 quality weight, and documents are taken in the order of their keys while the running sum of their tokens stays within
 the rest. The draw is a hash of seed and key, so a run can be repeated.
 
-Scale: a source may hold a third of all rows, so no source is ever sorted in one task. Keys are mapped to
-``BUCKETS`` ordered buckets; the tokens per (source, bucket) are summed with map-side partial sums, the bucket in
-which the rest is used up is found from at most sources x BUCKETS rows, and only the documents of that
-one bucket are sorted. Token counts are made once and cut from their lineage by a checkpoint in the shared folder.
+Scale: a source may hold a third of all rows, so no source is ever sorted in one task. Keys fall into ordered buckets,
+``BUCKETS`` to an octave, so that whatever the weights a bucket holds at most about 1 / (3.9 BUCKETS) of a source; the tokens
+per (source, bucket) are summed with map-side partial sums, the bucket in which the rest is used up is found from these
+sums, and only the documents of that one bucket are sorted. Token counts are made once and cut from their
+lineage by a checkpoint in the shared folder. Targets are broadcast while there are at most ``TARGETS``, else joined.
+
+A target out of reach gives what it has and shows its shortfall; the others keep their budgets, so their actual shares are
+higher. ``even_total`` is the largest total at which all targets with documents keep their shares; ``plan`` takes it as ``total``.
 
 Defined results: documents without text have no tokens and are not taken; a null source, or one without a
 target, gets no share and is reported with target null; a target without documents, or beyond its cap, gets
@@ -28,9 +32,9 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_root, spread, wide_batches
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-BUCKETS = 4096
+BUCKETS = 1024
 SEED = 17
-MAX_TARGETS = 10_000  # the targets are a hand-written table that every task gets
+TARGETS = 10_000
 
 
 def token_counts(df: DataFrame, text: str, into: str = "n_tokens", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -66,31 +70,40 @@ def exponential_key(key: Column, weight: Column, seed: int = SEED) -> Column:
     return -F.log(u) / weight
 
 
+def even_total(goal: DataFrame) -> float | None:
+    """The largest total of which every target with documents can have its share within its cap."""
+    reach = goal.where("available > 0 AND target_share > 0").agg(F.min(F.col("available") * F.col("max_repeats") / F.col("target_share")))
+    return reach.first()[0]
+
+
 def plan(sized: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
     """Per target: tokens there are, budget, complete epochs and the rest for the fractional part."""
     have = sized.groupBy("source").agg(F.sum("n_tokens").alias("available"), F.count_if(F.col("n_tokens") > 0).alias("documents"))
-    whole = F.lit(float(total)) if total is not None else F.sum("available").over(Window.partitionBy(F.lit(1)))
+    whole = float(total if total is not None else have.agg(F.sum("available")).first()[0] or 0)
     rows = targets.join(have, "source", "full_outer").withColumns({"available": F.coalesce("available", F.lit(0)), "documents": F.coalesce("documents", F.lit(0))})
-    rows = rows.withColumn("total", whole)  # one row per source: a small table
+    rows = rows.withColumn("total", F.lit(whole))
     rows = rows.withColumn("budget", F.least(F.floor(F.col("target_share") * F.col("total")), F.col("available") * F.col("max_repeats")))
     epochs = F.when(F.col("available") > 0, F.floor(F.col("budget") / F.col("available"))).otherwise(0)
     return rows.withColumn("epochs", F.coalesce(epochs, F.lit(0)).cast("int")).withColumn("rest", F.coalesce(F.col("budget") - F.col("epochs") * F.col("available"), F.lit(0)))
 
 
-def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def bucket_of(key: Column) -> Column:
+    """Buckets in the order of keys: equal steps of their logarithm."""
+    return F.floor(F.log2(F.greatest(key, F.lit(1e-300))) * BUCKETS).cast("int")
+
+
+def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, seed: int = SEED, most: int = TARGETS) -> tuple[DataFrame, DataFrame]:
     """(documents with how often each is taken, the plan). ``sized``: doc_id, source, n_tokens, quality."""
-    if targets.limit(MAX_TARGETS + 1).count() > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} targets")
+    small = F.broadcast if targets.limit(most + 1).count() <= most else lambda df: df
     goal = plan(sized, targets, total)
-    key = exponential_key(F.col("doc_id"), F.col("quality"), seed)
-    docs = sized.where(F.col("n_tokens") > 0).join(F.broadcast(goal.where("budget > 0").select("source", "epochs", "rest")), "source")  # one row per target
-    docs = docs.withColumn("key", key).withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+    docs = sized.where(F.col("n_tokens") > 0).join(small(goal.where("budget > 0").select("source", "epochs", "rest")), "source")
+    docs = docs.withColumn("key", exponential_key(F.col("doc_id"), F.col("quality"), seed)).withColumn("bucket", bucket_of(F.col("key")))
     heap = docs.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"), F.first("rest").alias("rest"))
     before = F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     heap = heap.withColumn("before", F.coalesce(before, F.lit(0)))
     # the last bucket that begins within the rest: all before it are taken whole
     edge = heap.where(F.col("before") < F.col("rest")).groupBy("source").agg(F.max_by(F.struct("bucket", "before"), "bucket").alias("e")).select("source", F.col("e.bucket").alias("edge"), F.col("e.before").alias("before"))
-    docs = docs.join(F.broadcast(edge), "source", "left")
+    docs = docs.join(small(edge), "source", "left")
     inner = docs.where(F.col("bucket") == F.col("edge"))
     running = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     at_edge = inner.withColumn("cum", F.col("before") + running).withColumn("extra", (F.col("cum") - F.col("n_tokens") / 2 <= F.col("rest")).cast("int"))
@@ -106,10 +119,12 @@ def shares(taken: DataFrame, goal: DataFrame) -> DataFrame:
     used = used.withColumnRenamed("source", "used_source")
     rows = goal.join(used, F.col("source").eqNullSafe(F.col("used_source")), "left")
     tokens = F.coalesce(F.col("tokens"), F.lit(0))
-    all_tokens = F.sum(tokens).over(Window.partitionBy(F.lit(1)))
+    all_tokens = F.lit(taken.agg(F.sum(F.col("n_tokens") * F.col("copies"))).first()[0])
+    even = F.lit(even_total(goal)).cast("double")
     return rows.select(
         "source", "target_share", "max_repeats", "documents", F.col("available").alias("available_tokens"), tokens.alias("tokens"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
         F.round(tokens / F.nullif(all_tokens, F.lit(0)), 6).alias("actual_share"), F.round(F.greatest(F.col("target_share") * F.col("total") - tokens, F.lit(0.0)) / F.nullif(F.col("total"), F.lit(0)), 6).alias("shortfall_share"),
+        F.when(F.col("available") > 0, F.floor(F.col("target_share") * even)).alias("even_tokens"),
     )
 
 
