@@ -19,7 +19,7 @@ def test_names(spark):
     assert entry.entry(spark).limit(1).count() == 1
 
 
-FAST = ["docs_client_filter_sort", "latest_per_key", "topk_per_key", "metric_cer_by_category", "job_state_fold", "stale_jobs", "parse_layout_jsonl", "section_fill", "detect_all", "propose_evidence_aware", "p1_blocks"]
+FAST = ["docs_client_filter_sort", "latest_per_key", "topk_per_key", "metric_cer_by_category", "job_state_fold", "stale_jobs", "parse_layout_jsonl", "section_fill", "detect_all", "propose_evidence_aware", "fusion_summary", "alignment", "assign_greedy", "lattice_agreement", "evidence_view", "p1_found", "p1_blocks", "p1_polygon_points"]
 
 
 @pytest.mark.parametrize("name", FAST)

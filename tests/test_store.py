@@ -20,7 +20,8 @@ def test_snapshots(spark, tmp_path):
 
 def test_budget(spark):
     a = spark.createDataFrame([("d", 1, "x", 10), ("d", 2, "x", 10), ("d", 3, "y", 10), ("d", 4, "z", 10), ("e", 1, "x", 200_000), ("e", 2, "y", 1)], "doc string, n int, sha string, ms int")
-    assert [r.status for r in store.budgeted(a, ["doc"], ["n"]).orderBy("doc", "n").collect()] == ["RUN", "DUPLICATE", "RUN", "BUDGET_EXHAUSTED", "RUN", "BUDGET_EXHAUSTED"]
+    assert [r.status for r in store.budgeted(a, ["doc"], ["n"]).orderBy("doc", "n").collect()] == ["RUN", "DUPLICATE", "RUN", "BUDGET_EXHAUSTED", "TIMEOUT", "BUDGET_EXHAUSTED"]
+    assert {r.status for r in store.budgeted(a, ["doc"], ["n"], provider=F.lit(False)).collect()} == {"PROVIDER_UNAVAILABLE"}
 
 
 def test_filters(spark):

@@ -58,6 +58,7 @@ class RecoverConfig:
 @dataclass(frozen=True)
 class JobConfig:
     stale_seconds: int = 120
+    most_seconds: int = 180
     active: tuple[str, ...] = ("queued", "submitted", "running")
 
 

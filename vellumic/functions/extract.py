@@ -56,9 +56,21 @@ def text_facts(text: Column, preview: int = 100) -> Column:
     return F.struct(F.regexp_count(text, F.lit(KEY)).alias("keys_found"), F.length(text).alias("document_length"), F.concat(F.substring(text, 1, preview), F.lit("...")).alias("preview"))
 
 
+#: A salutation before a name, and an age with its unit and the sex.
+SALUTATION = r"(?i)^(Mr|Mrs|Ms|Miss|Dr)\.?\s+(.+)$"
+AGE_SEX = r"(?i)^(\d+)\s*([YMD])\s*/\s*([MF])$"
+
+
 def age_sex(text: Column) -> Column:
-    """``34 Y / F`` and the like."""
-    return F.struct(F.regexp_extract(text, r"(\d{1,3})", 1).try_cast("int").alias("age"), F.upper(_first(text, r"(?i)\b(male|female|m|f)\b").substr(1, 1)).alias("sex"))
+    """``34 Y / F`` and the like; all null for anything else."""
+    part = lambda n: _first(text, AGE_SEX, n)
+    return F.struct(part(1).try_cast("int").alias("age"), F.upper(part(2)).alias("unit"), F.upper(part(3)).alias("sex"))
+
+
+def person(text: Column) -> Column:
+    """Salutation and name; a text without a salutation is a name as a whole."""
+    title = _first(text, SALUTATION, 1)
+    return F.struct(F.concat(title, F.lit(".")).alias("salutation"), F.when(title.isNotNull(), _first(text, SALUTATION, 2)).otherwise(text).alias("name"))
 
 
 class _Table(HTMLParser):
@@ -117,6 +129,30 @@ def html_table(html: pd.Series) -> pd.Series:
     return html.map(table_rows)
 
 
+def laid_out(rows: list[list[dict]] | None) -> list[dict] | None:
+    """Each cell with the row and column where it begins, when those before it take the room that their spans say."""
+    if rows is None:
+        return None
+    out, taken = [], set()
+    for r, row in enumerate(rows):
+        c = 0
+        for cell in row:
+            while (r, c) in taken:
+                c += 1
+            out.append({"row": r, "column": c, **cell})
+            taken |= {(r + i, c + j) for i in range(cell["rowspan"]) for j in range(cell["colspan"])}
+            c += cell["colspan"]
+    return out
+
+
+PLACED = T.StructType([T.StructField("row", T.IntegerType()), T.StructField("column", T.IntegerType()), *CELL.fields])
+
+
+@F.pandas_udf(T.ArrayType(PLACED))
+def html_grid(html: pd.Series) -> pd.Series:
+    return html.map(lambda x: laid_out(table_rows(x)))
+
+
 def lab_rows(cells: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Rows of a results table (name, value, unit, range) with their section: a row with a name only begins one."""
     other = F.coalesce(F.nullif(F.trim("value"), F.lit("")), F.nullif(F.trim("unit"), F.lit("")), F.nullif(F.trim("range"), F.lit("")))

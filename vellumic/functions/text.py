@@ -115,3 +115,23 @@ def upload_error(content: Column, declared: Column, filename: Column, most: int
         .when(~F.coalesce(told.isin("application/pdf", "image/png", "image/jpeg", "image/webp"), F.lit(False)), "UNSUPPORTED_TYPE")
         .when(found.isNull(), "UNKNOWN_SIGNATURE").when(found != told, "SIGNATURE_MISMATCH").when((suffix != "") & ~allowed[suffix].eqNullSafe(found), "EXTENSION_MISMATCH")
     )
+
+
+def to_utc(text: Column) -> Column:
+    """An ISO time as UTC: with ``Z`` or an offset as told, without one taken for UTC; null if it is none. Needs the session's time zone UTC."""
+    return F.regexp_replace(text, "Z$", "+00:00").try_cast("timestamp")
+
+
+def iso(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+
+
+def client_status(status: Column, known: tuple[str, ...], default: str) -> Column:
+    """A status that a client knows, else the default."""
+    return F.when(status.isin(*known), status).otherwise(default)
+
+
+def envelope_error(code: Column, job: Column, message: Column, full: int = 10010) -> Column:
+    """Why a provider's answer is no accepted job, null if it is one."""
+    refused = F.coalesce(code != 0, F.lit(True)) | (F.coalesce(job, F.lit("")) == "")
+    return F.when(refused, F.when(code == full, "QUEUE_FULL").otherwise(F.coalesce(F.nullif(message, F.lit("")), F.lit("UNKNOWN"))))

@@ -89,3 +89,12 @@ def mean_probability(values: Column) -> Column:
     """Mean of the token probabilities of a reading, null ones left out; 0.0 where there are none."""
     there = F.filter(values, lambda v: v.isNotNull())
     return F.coalesce(F.aggregate(there, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(there), F.lit(0)), F.lit(0.0))
+
+
+def report(rows: DataFrame, by: str) -> DataFrame:
+    """A summary as one Markdown table and one JSON text, groups in order. One row per group goes in: a small table."""
+    cells = F.concat_ws(" | ", F.col(by), F.col("samples").cast("string"), F.format_string("%.4f", "cer"), F.format_string("%.2f", "exact_match_rate"))
+    line = F.struct(F.col(by).alias("k"), F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"), F.to_json(F.struct(by, "samples")).alias("json"))
+    all_ = rows.agg(F.array_sort(F.collect_list(line)).alias("l"))
+    head = f"| {by} | samples | cer | exact |\n|---|---|---|---|\n"
+    return all_.select(F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: x.line), "\n")).alias("markdown"), F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x.json), ","), F.lit("]")).alias("json"))

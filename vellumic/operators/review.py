@@ -44,6 +44,48 @@ def needs_review(confidence: Column, limit: float = 0.9) -> Column:
     return F.coalesce(confidence < limit, F.lit(False))
 
 
+def queue_view(confidence: Column, corrected: Column) -> Column:
+    """The views of the review queue that an item is in."""
+    return F.array_compact(F.array(F.lit("all"), F.when(needs_review(confidence) & ~corrected, "needs_review"), F.when(corrected, "verified")))
+
+
+def next_open(regions: DataFrame, by: list[str], order: str, open_: Column) -> DataFrame:
+    """Per region the first other open one of its document, null where there is none. Two per document are enough to know."""
+    first = F.slice(F.array_sort(F.collect_list(F.when(open_, F.col(order)))), 1, 2)
+    two = regions.groupBy(*by).agg(first.alias("_two"))
+    return regions.join(two, by).withColumn("next_open", F.get(F.filter("_two", lambda r: r != F.col(order)), F.lit(0))).drop("_two")
+
+
+def audit_rows(edits: DataFrame, illegible: Column) -> DataFrame:
+    """A row for every edit that was taken (see ``revision_fold``): what was done, by its number and revision. A null region is the whole transcript."""
+    action = F.when(F.col("region").isNull(), "Manual transcript edit").when(illegible, "Marked illegible").otherwise("Accepted alternative")
+    return edits.where("accepted").select("doc", "seq", "revision", "region", action.alias("action"))
+
+
+def session(documents: DataFrame, regions: DataFrame, events: DataFrame, key: str) -> DataFrame:
+    """Per document its regions in order, its events, its revision, and whether all of its regions are decided; each side is aggregated before it is joined."""
+    r = regions.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("region", "status"))).alias("regions"), (F.count_if(F.col("status") == "pending") == 0).alias("reviewed"))
+    e = events.groupBy(key).agg(F.count(F.lit(1)).alias("events"), F.max("revision").alias("revision"))
+    return documents.join(r, key, "left").join(e, key, "left").withColumns({"reviewed": F.coalesce("reviewed", F.lit(False)), "events": F.coalesce("events", F.lit(0)), "revision": F.coalesce("revision", F.lit(0))})
+
+
+STATE = "text string, reviewed boolean, corrections map<string,string>, preferences struct<reviewer:string,language:string>, events array<struct<id:string,action:string,detail:string,time:string>>"
+
+
+def saved_state(raw: Column, regions: list[str], most_text: int = 100_000, most_correction: int = 100, most_events: int = 500) -> Column:
+    """A saved workspace as far as it is valid, null if it is not: corrections of known regions, whole events, and reviewed only if every region is corrected."""
+    s = F.from_json(raw, STATE)
+    valid = s.isNotNull() & s["text"].isNotNull() & (F.length(s["text"]) <= most_text) & (F.trim(s["preferences"]["reviewer"]) != "") & s["corrections"].isNotNull() & s["events"].isNotNull()
+    kept = F.map_filter(s["corrections"], lambda k, v: k.isin(*regions) & (F.trim(v) != "") & (F.length(v) <= most_correction))
+    events = F.slice(F.filter(s["events"], lambda e: e.id.isNotNull() & e.action.isNotNull() & e.detail.isNotNull() & e.time.try_cast("timestamp").isNotNull()), 1, most_events)
+    return F.when(valid, F.struct(kept.alias("corrections"), events.alias("events"), (F.coalesce(s["reviewed"], F.lit(False)) & (F.size(kept) == len(regions))).alias("reviewed")))
+
+
+def candidate(text: Column, confidence: Column, provider: Column) -> Column:
+    """A reading as stored: its confidence, and the score that stands for a calibrated one."""
+    return F.struct(text.alias("text"), F.round(confidence, 4).alias("confidence"), F.round(confidence * 0.95, 4).alias("calibrated_score"), provider.alias("provider_id"))
+
+
 def queue_counts(items: DataFrame, by: list[str]) -> DataFrame:
     """Items in all, open for review, and verified. Needs ``confidence`` and ``corrected``."""
     return items.groupBy(*by).agg(F.count(F.lit(1)).alias("all_items"), F.count_if(needs_review(F.col("confidence")) & ~F.col("corrected")).alias("open_items"), F.count_if("corrected").alias("verified_items"))

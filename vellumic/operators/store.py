@@ -40,14 +40,39 @@ def stable_id(prefix: str, *keys: Column) -> Column:
     return F.concat(F.lit(prefix + "-"), F.substring(F.sha2(F.concat_ws("|", *keys), 256), 1, 8))
 
 
-def budgeted(attempts: DataFrame, keys: list[str], order: list[str], cfg: RecoverConfig = RECOVER) -> DataFrame:
-    """Attempts (sha, ms) of a region: a variant seen before is skipped, then at most so many, within so much time."""
+def live_run(runs: DataFrame, keys: list[str], key: str = "id", status: str = "status", failed: tuple[str, ...] = ("failed",)) -> DataFrame:
+    """Per document and idempotency key the first run that has not failed."""
+    return runs.where(~F.col(status).isin(*failed)).groupBy(*keys).agg(F.min(key).alias(key))
+
+
+def finalize(runs: DataFrame, counters: DataFrame, key: str, status: str = "completed") -> DataFrame:
+    """Runs with their counters and final status; runs without counters stay as they are."""
+    own = counters.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in counters.columns if c != key])
+    both = runs.join(own, F.col(key) == F.col("_key"), "left")
+    done = F.col("_key").isNotNull()
+    new = {c: F.when(done, F.col(f"_{c}")).otherwise(F.col(c)) if c in runs.columns else F.col(f"_{c}") for c in counters.columns if c != key}
+    return both.withColumns(new | {"status": F.when(done, status).otherwise(F.col("status"))}).select(*runs.columns, *[c for c in new if c not in runs.columns])
+
+
+def with_children(parents: DataFrame, children: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """Parents with their children as an ordered array, empty where there are none."""
+    rest = [c for c in children.columns if c not in (key, *order)]
+    rows = children.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias(name))
+    none = F.array().cast(rows.schema[name].dataType)
+    return parents.join(rows, key, "left").withColumn(name, F.coalesce(name, none))
+
+
+def budgeted(attempts: DataFrame, keys: list[str], order: list[str], cfg: RecoverConfig = RECOVER, provider: Column | None = None) -> DataFrame:
+    """Attempts (sha, ms) of a region: a variant seen before is skipped, then at most so many, within so much time.
+
+    Without a provider none is run; one that takes more than the whole time has timed out.
+    """
     seen = F.row_number().over(Window.partitionBy(*keys, "sha").orderBy(*order))
     rest = attempts.withColumn("_copy", seen > 1)
     w = Window.partitionBy(*keys).orderBy(*order)
     n = F.sum(F.when(F.col("_copy"), 0).otherwise(1)).over(w)
     spent = F.coalesce(F.sum(F.when(F.col("_copy"), F.lit(0)).otherwise(F.col("ms"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    status = F.when(F.col("_copy"), "DUPLICATE").when((n > cfg.most_variants) | (spent >= cfg.wall_ms), "BUDGET_EXHAUSTED").otherwise("RUN")
+    status = F.when(F.lit(False) if provider is None else ~provider, "PROVIDER_UNAVAILABLE").when(F.col("_copy"), "DUPLICATE").when((n > cfg.most_variants) | (spent >= cfg.wall_ms), "BUDGET_EXHAUSTED").when(F.col("ms") > cfg.wall_ms, "TIMEOUT").otherwise("RUN")
     return rest.withColumn("status", status).drop("_copy")
 
 

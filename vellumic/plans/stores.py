@@ -47,8 +47,8 @@ def alias_defaults(s: SparkSession, d: str) -> DataFrame:
 
 _BUDGET = (
     V.REG + ", att AS (SELECT doc, region, qty%4 AS sha, qty*2500 AS ms, row_number() OVER (PARTITION BY doc, qty%4 ORDER BY region)>1 AS copy FROM reg), "
-    "bu AS (SELECT doc, region, copy, sum(CASE WHEN copy THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY region) AS n, coalesce(sum(CASE WHEN copy THEN 0 ELSE ms END) OVER (PARTITION BY doc ORDER BY region ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS spent FROM att), "
-    "st AS (SELECT doc, region, CASE WHEN copy THEN 'DUPLICATE' WHEN n>2 OR spent>=120000 THEN 'BUDGET_EXHAUSTED' ELSE 'RUN' END AS status FROM bu)"
+    "bu AS (SELECT doc, region, ms, copy, sum(CASE WHEN copy THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY region) AS n, coalesce(sum(CASE WHEN copy THEN 0 ELSE ms END) OVER (PARTITION BY doc ORDER BY region ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS spent FROM att), "
+    "st AS (SELECT doc, region, CASE WHEN copy THEN 'DUPLICATE' WHEN n>2 OR spent>=120000 THEN 'BUDGET_EXHAUSTED' WHEN ms>120000 THEN 'TIMEOUT' ELSE 'RUN' END AS status FROM bu)"
 )
 QUERIES = {"recovery_budget": recovery_budget, "transcript_export": transcripts, "lab_report": lab_reports, "recovery_attempts_linked": run_attempts, "alias_defaults": alias_defaults}
 SQL = {

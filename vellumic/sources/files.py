@@ -21,6 +21,20 @@ def uploads(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     )
 
 
+def blob(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The content of one stored file by its name or id (the name's stem); only files of that name are opened."""
+    f = spark.read.format("binaryFile").option("pathGlobFilter", f"{name}*").load(path)
+    stored = F.regexp_replace("path", r"^.*/", "")
+    return f.where((stored == name) | (F.regexp_replace(stored, r"\.[^.]*$", "") == name)).select(stored.alias("name"), "length", "content")
+
+
+def find_one(df: DataFrame, **equal: object) -> DataFrame:
+    """At most one row for which all the given columns have these values."""
+    for column, value in equal.items():
+        df = df.where(F.col(column) == F.lit(value))
+    return df.limit(1)
+
+
 def benchmark_metadata(spark: SparkSession, path: str) -> DataFrame:
     """The samples of benchmark metadata files, one JSON document each."""
     return spark.read.schema(SAMPLES).json(path, multiLine=True).select("dataset", F.posexplode("samples").alias("ord", "s")).select("dataset", "ord", "s.*")

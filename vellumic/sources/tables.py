@@ -49,17 +49,17 @@ def first_deliveries(df: DataFrame, key: str, order: str, most: int = REPEATED)
     """One row per key, the first by ``order``; rows of one key are taken to be equal in all else.
 
     Only keys and order are shuffled while at most ``most`` keys are repeated: these are broadcast, and the rows pass by them where
-    they lie. Beyond that, or where a first row is there twice, whole rows are grouped. A null key is a key.
+    they lie. Beyond that whole rows are grouped, as are those of the few keys whose first row may be there twice. A null key is a key.
     """
-    per = df.groupBy(key, F.struct(order).alias("_o")).agg(F.count(F.lit(1)).alias("_n"))
-    again = per.groupBy(key).agg(F.min("_o").alias("_first"), F.sum("_n").alias("_all"), F.max("_n").alias("_most")).where("_all > 1")
-    rows = again.select(F.col(key).alias("_key"), F.col(f"_first.{order}").alias("_first"), "_most").limit(most + 1).toArrow()
+    o = F.struct(order)
+    again = df.groupBy(key).agg(F.min(o).alias("_first"), F.max(o).alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    rows = again.select(F.col(key).alias("_key"), F.col(f"_first.{order}").alias("_first"), ((F.col("_n") > 2) | F.col("_first").eqNullSafe(F.col("_last"))).alias("_ties")).limit(most + 1).toArrow()
     if rows.num_rows > most:
-        return df.dropDuplicates([key])
+        return df.withColumn("_o", o).groupBy(key).agg(F.min_by(F.struct(*[c for c in df.columns if c != key]), "_o").alias("_r")).select(*[F.col(c) if c == key else F.col(f"_r.{c}") for c in df.columns])
     if not rows.num_rows:
         return df
-    ties = max(rows.column("_most").to_pylist()) > 1
-    known = df.sparkSession.createDataFrame(rows).withColumn("_again", F.lit(True)).drop("_most")
+    ties = any(rows.column("_ties").to_pylist())
+    known = df.sparkSession.createDataFrame(rows).withColumn("_again", F.lit(True)).drop("_ties")
     met = df.join(F.broadcast(known), F.col(key).eqNullSafe(F.col("_key")), "left")
     own = met.where(F.col("_again").isNull() | F.col("_first").eqNullSafe(F.col(order)))
     if not ties:

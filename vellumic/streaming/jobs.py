@@ -28,6 +28,37 @@ def expire(jobs: DataFrame, now: Column, cfg: JobConfig = JOBS, to: str = "timed
     return jobs.withColumn("state", F.when(gone, to).otherwise(F.col("state")))
 
 
+def poll(jobs: DataFrame, now: Column, working: Column, cfg: JobConfig = JOBS) -> DataFrame:
+    """Jobs as a poll sees them: an active one that no worker holds and that is stale has failed once more."""
+    gone = F.col("state").isin(*cfg.active) & ~working & (F.col("last_pulse") < now - F.make_dt_interval(secs=F.lit(cfg.stale_seconds)))
+    return jobs.withColumns({"state": F.when(gone, "failed").otherwise(F.col("state")), "failures": F.col("failures") + F.when(gone, 1).otherwise(0)})
+
+
+def watchdog(jobs: DataFrame, now: Column, started: Column, cfg: JobConfig = JOBS) -> DataFrame:
+    """Active jobs that have run for too long in all have failed, pulse or no pulse."""
+    over = F.col("state").isin(*cfg.active) & (started < now - F.make_dt_interval(secs=F.lit(cfg.most_seconds)))
+    return jobs.withColumns({"state": F.when(over, "failed").otherwise(F.col("state")), "failures": F.col("failures") + F.when(over, 1).otherwise(0)})
+
+
+def pulses(runs: DataFrame, key: str, start: str, end: str, every: int = 5) -> DataFrame:
+    """The heartbeats (key, ts) of each run: one every so many seconds from its start on, while it lasts."""
+    step = F.make_dt_interval(secs=F.lit(every))
+    return runs.where(F.col(end) >= F.col(start)).select(key, F.explode(F.sequence(F.col(start), F.col(end), step)).alias("ts"))
+
+
+def submissions(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Submissions (``kind`` submit or force; end is that of a job) with what becomes of them: started, joined to the active job, or started in its place.
+
+    After any submission a job is active, until one ends; so the event before it decides, and no state has to be carried.
+    """
+    from pyspark.sql import Window
+
+    before = F.lag("kind").over(Window.partitionBy(*keys).orderBy(*order))
+    free = before.isNull() | (before == "end")
+    outcome = F.when(free, "started").when(F.col("kind") == "force", "replaced").otherwise("joined")
+    return events.withColumn("outcome", outcome).where(F.col("kind") != "end")
+
+
 def first_submission(events: DataFrame, keys: list[str], gap_seconds: int) -> DataFrame:
     """Submissions that no other of the same key precedes within the gap."""
     from pyspark.sql import Window
