@@ -53,7 +53,7 @@ _BUDGET = (
 QUERIES = {"recovery_budget": recovery_budget, "transcript_export": transcripts, "lab_report": lab_reports, "recovery_attempts_linked": run_attempts, "alias_defaults": alias_defaults}
 SQL = {
     "recovery_budget": f"WITH {_BUDGET} SELECT doc, region, status FROM st",
-    "recovery_attempts_linked": f"WITH {_BUDGET}, r AS (SELECT doc, 'att-'||substring(sha256(doc||'|'||region),1,8) AS id FROM st WHERE status='RUN') SELECT doc, 1+count(*) AS n, 'att-0,'||string_agg(id,',' ORDER BY id) AS ids FROM r GROUP BY doc",
+    "recovery_attempts_linked": f"WITH {_BUDGET}, r AS (SELECT doc, 'att-'||substring(sha256(doc||'|'||region),1,8) AS id FROM st WHERE status='RUN') SELECT d.doc, 1+count(id) AS n, concat_ws(',','att-0',string_agg(id,',' ORDER BY id)) AS ids FROM (SELECT DISTINCT doc FROM reg) d LEFT JOIN r ON r.doc=d.doc GROUP BY d.doc",
     "transcript_export": f"WITH {V.REG}, g AS (SELECT doc, count(*) FILTER (WHERE qty%4=0) AS unresolved, string_agg(text, chr(10) ORDER BY region) AS t FROM reg GROUP BY doc) SELECT doc, unresolved, md5(CASE WHEN unresolved>0 THEN 'DRAFT - '||unresolved||' unresolved'||chr(10) ELSE '' END||t) AS transcript FROM g",
     "lab_report": f"WITH {V.REG} SELECT doc, count(*) AS results, string_agg('part '||(region-(region-1)%3)||'='||qty, ',' ORDER BY region) AS \"values\", CASE WHEN doc%2=0 THEN '' ELSE 'NO_UNITS_OR_RANGES' END AS warnings FROM reg WHERE region%3<>1 GROUP BY doc",
     "alias_defaults": "WITH t AS (SELECT doc_id, coalesce(source,lang) AS source, coalesce(lang,source) AS lang, CASE WHEN doc_id%3<>0 THEN doc_id%600 END AS w, CASE WHEN doc_id%5<>0 THEN doc_id%800 END AS h FROM documents) SELECT doc_id, source, lang, CAST(CASE WHEN doc_id%2=0 THEN coalesce(trunc(w*2.77),1000) ELSE coalesce(w,1000) END AS BIGINT) AS width, CAST(CASE WHEN doc_id%2=0 THEN coalesce(trunc(h*2.77),1414) ELSE coalesce(h,1000) END AS BIGINT) AS height FROM t",
