@@ -304,14 +304,17 @@ def redacted(text: str | None) -> str | None:
 
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
-    """``field, record_id, block_id, text`` of the two fields; blocks are exploded in the JVM."""
-    from ..sources.tables import nested_table
-
-    run = nested_table(spark, folder, "payload", ["parsing_run.id", "parsing_run.markdown_text"])
-    one = run.select(F.lit("payload_markdown").alias("field"), F.col("parsing_run.id").alias("record_id"), F.lit("").alias("block_id"), F.col("parsing_run.markdown_text").alias("text"))
-    vl = nested_table(spark, folder, "prescription_vl_result", ["result_id", "pages.blocks.block_id", "pages.blocks.content"])
-    page = vl.select("result_id", F.explode("pages").alias("p")).select("result_id", F.explode("p.blocks").alias("b"))
-    two = page.select(F.lit("vl_content").alias("field"), F.col("result_id").alias("record_id"), F.col("b.block_id").alias("block_id"), F.col("b.content").alias("text"))
+    """``field, record_id, block_id, text`` of the two fields, each delivery and each block once; blocks are exploded in the JVM."""
+    from ..sources.tables import first_deliveries, nested_table
+
+    run = nested_table(spark, folder, "payload", ["export_id", "parsing_run.id", "parsing_run.markdown_text"])
+    run = first_deliveries(run.select("export_id", F.col("parsing_run.id").alias("record_id"), F.col("parsing_run.markdown_text").alias("text")), "record_id", "export_id")
+    one = run.select(F.lit("payload_markdown").alias("field"), "record_id", F.lit("").alias("block_id"), "text")
+    vl = nested_table(spark, folder, "prescription_vl_result", ["result_id", "received_at", "pages.blocks.block_id", "pages.blocks.content"])
+    blocks = F.transform(F.filter("pages", lambda p: p.blocks.isNotNull()), lambda p: p.blocks)
+    blocks = F.array_distinct(F.filter(F.flatten(blocks), lambda b: b.content.isNotNull()))  # a block given twice
+    each = first_deliveries(vl, "result_id", "received_at").select("result_id", F.explode(blocks).alias("b"))
+    two = each.select(F.lit("vl_content").alias("field"), F.col("result_id").alias("record_id"), F.col("b.block_id").alias("block_id"), F.col("b.content").alias("text"))
     return one.unionByName(two).where(F.col("text").isNotNull() & (F.col("text") != ""))
 
 
@@ -329,7 +332,7 @@ def _map(df: DataFrame, schema: str, work: Callable[[tuple], Iterable[tuple]]) -
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per mention. Deliveries of one text are worked on each; only their mentions are shuffled."""
+    """One row per mention."""
     from ..session import spread, wide_batches
 
     wide_batches(spark)
@@ -342,7 +345,7 @@ def redact(spark: SparkSession, folder: str) -> DataFrame:
     from ..session import spread, wide_batches
 
     wide_batches(spark)
-    return _map(spread(texts(spark, folder)), "field string, record_id string, block_id string, text string", lambda r: [(r[0], r[1], r[2], redacted(r[3]))]).distinct()
+    return _map(spread(texts(spark, folder)), "field string, record_id string, block_id string, text string", lambda r: [(r[0], r[1], r[2], redacted(r[3]))])
 
 
 QUERIES = {"p5_found": found, "p5_redacted": redact}
