@@ -184,16 +184,18 @@ def folder(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("noise"))
     block = "struct<block_id:string,content:string>"
     run = ("r1", "the rain is said to come\n" * 400 + "thc rain", 1, [(0, [("b", "x")])])
+    odd = ("r4", "harbour " * 60 + "harbiur harbur harbour7", 1, None)  # a character of no known shape, one lost, one that is a code
     rare = ("r3", "rain " * 1_000_000 + "zephyrine zephyrine zephyrine zcphyrine", 1, None)  # a word at three in a million
-    spark.createDataFrame([(run, 1), (run, 2), (("r2", None, None, None), 3), (rare, 4)], f"parsing_run struct<id:string,markdown_text:string,page_count:int,pages:array<struct<page_index:int,blocks:array<{block}>>>>, export_id long").write.parquet(f"{at}/payload.parquet")
-    spark.createDataFrame([("v1", [(None, [("b1", "thc rain"), None]), None]), ("v2", None)], f"result_id string, pages array<struct<page_index:int,blocks:array<{block}>>>").write.parquet(f"{at}/prescription_vl_result.parquet")
+    spark.createDataFrame([(run, 1), (run, 2), (("r2", None, None, None), 3), (rare, 4), (odd, 5)], f"parsing_run struct<id:string,markdown_text:string,page_count:int,pages:array<struct<page_index:int,blocks:array<{block}>>>>, export_id long").write.parquet(f"{at}/payload.parquet")
+    spark.createDataFrame([("v1", [(None, [("b1", "thc rain"), None]), None], 1), ("v2", None, 2)], f"result_id string, pages array<struct<page_index:int,blocks:array<{block}>>>, received_at int").write.parquet(f"{at}/prescription_vl_result.parquet")
     head = "Letter book Ostwick no. {}\n{}"
     rows = [(1, "s1", "o1d", "old"), (1, "s1", "o1d", "old"), (2, "s2", None, "a"), (3, "s3", "a", None), (4, "s4", "", ""), (5, "s5", head.format(2, "Quiet rain"), "Quiet rain"), (6, "s6", head.format(7, "Loud rain"), "Loud rain"), (7, "s7", head.format(8, "Odd rain").replace("Letter", "Lctter"), "Odd rain")]
-    spark.createDataFrame(rows + [(n, f"t{n}", "old old old", "old old old") for n in range(50, 90)], "eval_id long, sample_id string, prediction string, ground_truth string").write.parquet(f"{at}/sample_evaluations.parquet")
+    rows += [(n, f"t{n}", "old old old", "old old old") for n in range(50, 90)]
+    spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "eval_id long, sample_id string, prediction string, ground_truth string, ingested_at int").write.parquet(f"{at}/sample_evaluations.parquet")
     return at
 
 
-NOISE = [("payload_markdown", "r1", "", 400, "misread"), ("payload_markdown", "r3", "", 0, "misread"), ("prediction", "1", "", 0, "misread"), *[("prediction", n, "", 0, "running_head") for n in "567"], ("vl_content", "v1", "b1", 0, "misread")]
+NOISE = [("payload_markdown", "r1", "", 400, "misread"), ("payload_markdown", "r3", "", 0, "misread"), ("payload_markdown", "r4", "", 0, "misread"), ("prediction", "1", "", 0, "misread"), *[("prediction", n, "", 0, "running_head") for n in "567"], ("vl_content", "v1", "b1", 0, "misread")]
 
 
 @pytest.mark.parametrize("most", [O.ANSWERS, 0])
@@ -204,6 +206,8 @@ def test_found(spark, folder, most):
 
 @pytest.mark.parametrize("most", [O.ANSWERS, 0])
 def test_repaired(spark, folder, most):
-    fixed = {(r.field, r.record_id): r.text for r in O.repaired(spark, folder, most).collect()}
+    rows = O.repaired(spark, folder, most).collect()
+    fixed = {(r.field, r.record_id): r.text for r in rows}
+    assert len(fixed) == len(rows)
     assert fixed["prediction", "1"] == "old" and fixed["vl_content", "v1"] == "the rain" and fixed["payload_markdown", "r1"].endswith("come the rain")
-    assert fixed["payload_markdown", "r3"].endswith("zephyrine zephyrine zephyrine zephyrine") and fixed["prediction", "7"] == "Odd rain"
+    assert fixed["payload_markdown", "r3"].endswith("zephyrine zephyrine zephyrine zephyrine") and fixed["payload_markdown", "r4"].endswith("harbour harbour harbour7") and fixed["prediction", "7"] == "Odd rain"

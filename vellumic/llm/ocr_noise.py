@@ -55,7 +55,7 @@ RATIO = 40  # a vocabulary word so much rarer than a candidate is a misreading o
 MAX_EDITS = 3
 PLAIN = 2  # cost of an edit that is no confusion
 PROSE = 4  # words of a line that is neither furniture nor table
-REACH = 6  # paragraphs of prose that a broken word may be continued after, out of order as blocks come
+REACH = 3  # paragraphs of prose that a broken word may be continued after, out of order as blocks come
 HEADS = 2  # predictions that a head at their edge returns in
 ANSWERS = 1_000_000  # rows that every task may hold
 SHORT, PARTS = 4, 8  # outlines of fewer signs than this are spread over so many shards
@@ -291,14 +291,19 @@ def mark_furniture(lines: list[Line], heads: list[str]) -> None:
                 x.kinds.add("running_head")
 
 
+def without_mail(text: str, by: Callable[[re.Match], str] | str) -> str:
+    """Addresses of mail and web and tags taken out; most texts have none."""
+    return MAIL.sub(by, text) if "@" in text or "<" in text or "\uff20" in text or "[at]" in text or "http" in text else text
+
+
 def body_of(lines: list[Line]) -> tuple[list[Line], list[str]]:
     """The lines that are no page furniture, and their comparable texts without addresses of mail and web."""
     body = [x for x in lines if x.text.strip() and not x.kinds]
-    return body, [MAIL.sub(lambda m: " " * len(m[0]), plain(x.text)) for x in body]
+    return body, [without_mail(plain(x.text), lambda m: " " * len(m[0])) for x in body]
 
 
 def is_prose(text: str) -> bool:
-    return not text.lstrip().startswith(("|", "<")) and len(WORD.findall(text)) >= PROSE
+    return not text.lstrip().startswith(("|", "<")) and len(text.split()) >= PROSE
 
 
 def continuations(body: list[Line], texts: list[str], i: int, head: re.Match) -> Iterator[tuple[int, str, str, str]]:
@@ -382,11 +387,13 @@ def words_of(body: list[Line], texts: list[str], skip: dict[int, int]) -> Iterat
 BROKEN_PARTS = re.compile(rf"(?<![^\W_])(?:[^\W_]+-)*[^\W\d_]+[{BREAKS}][^\S\n]*\n\s*[^\W_]*")
 
 
-def count_words(text: str) -> tuple[list[str], list[str], list[str]]:
-    """Whole words, compounds and pairs of one text; words split over a line end are left out."""
-    text = BROKEN_PARTS.sub(" ", MAIL.sub(" ", plain(text).casefold()))
+def count_words(text: str, pairs: bool = True) -> tuple[list[str], list[str], list[str]]:
+    """Whole words, compounds and, if asked for, pairs of one text; words split over a line end are left out."""
+    text = without_mail(plain(text).casefold(), " ")
+    if "\n" in text:
+        text = BROKEN_PARTS.sub(" ", text)
     words = WORD.findall(text)
-    return words, COMPOUND.findall(text), [f"{a} {b}" for a, b in zip(words, words[1:])]
+    return words, COMPOUND.findall(text) if "-" in text else [], [f"{a} {b}" for a, b in zip(words, words[1:])] if pairs else []
 
 
 def corrected(word: str, printed: str) -> str:
@@ -480,6 +487,8 @@ def truth_words(truth: str | None) -> tuple[Counter, frozenset[str]]:
 
 def prediction_lines(prediction: str, truth: str | None, answers: Answers | None = None) -> list[Line]:
     """The lines of a prediction, with what its ground truth lacks of page furniture marked."""
+    if "\n" not in prediction:
+        return [Line("", 0, prediction, 0)]
     lines = lines_of(prediction)
     if len(lines) > 1:
         words, whole = truth_words(truth)
@@ -505,6 +514,9 @@ def unmarked(lines: list[Line]) -> list[Line]:
 
 def mark_prediction(lines: list[Line], truth: str, answers: Answers) -> None:
     """Words that the ground truth lacks and that may be misreadings of words it has besides: an exact check of the corpus' candidates."""
+    if len(lines) == 1:
+        _mark_missing([(w, [(lines[0], 0)]) for w in WORD.findall(without_mail(plain(lines[0].text), " ").casefold())], truth, answers)
+        return
     body, texts = body_of(unmarked(lines))
     skip = mark_breaks(body, texts, answers)
     read: list[tuple[str, list[tuple[Line, int]]]] = []  # word, lines and first places in it
@@ -512,10 +524,16 @@ def mark_prediction(lines: list[Line], truth: str, answers: Answers) -> None:
         if x.joins:
             read.append(((x.joins[1] + x.joins[2]).casefold(), [(x, 0), (x.joins[0], len(x.joins[1]))]))
     read += [(w.casefold(), [(x, 0)]) for x, _, _, w in words_of(body, texts, skip)]
+    _mark_missing(read, truth, answers)
+
+
+def _mark_missing(read: list[tuple[str, list[tuple[Line, int]]]], truth: str, answers: Answers) -> None:
     words, _ = truth_words(truth)
     missing = dict(words)
     for w, _ in read:
         missing[w] = missing.get(w, 0) - 1
+    if not any(n > 0 for n in missing.values()):
+        return  # nothing that is printed is missing
     for word, places in read:
         if word in words and missing[word] >= 0:
             continue
@@ -564,24 +582,24 @@ def lines_in(kind: str, row: dict, truth: bool, answers: Answers | None = None)
 
 def questions(kind: str, row: dict, truth: bool) -> Iterator[tuple[str, str]]:
     """What a record counts for and asks: (kind, string). ``truth``: whether ground truths may be looked at."""
+    if kind == "truth":
+        words, compounds, _ = count_words(row["text"], False)
+        yield from (("printed", w) for w in words)
+        yield from (("compound", w) for w in compounds)
+        return
+    printed = truth_words(row["truth"])[0] if kind == "prediction" and truth else {}
+    names = ("word", "compound") if truth else ("word", "compound", "pair")  # pairs are for the best candidate only
+    if kind == "prediction" and "\n" not in row["text"]:  # one line: no furniture and no word is split
+        for name, found in zip(names, count_words(row["text"], not truth)):
+            yield from ((name, w) for w in found if w not in printed)
+        return
     lines = lines_in(kind, row, truth)
-    given = {x.block: [] for x in lines}
+    given: dict[str, list[str]] = {}
     for x in lines:
-        given[x.block].append(x.text)
-    texts = ["\n".join(x) for x in given.values()]
-    for text in texts:
-        for name, found in zip(("word", "compound", "pair"), count_words(text)):
-            for w in found:
-                yield name, w
-    if kind == "prediction" and truth and row["truth"]:
-        words, compounds, _ = count_words(row["truth"])
-        for w in words:
-            yield "printed", w
-        for w in compounds:
-            yield "compound", w
-    for x in lines:
-        if "perhaps_head" in x.kinds:
-            yield "head", head_key(x.text)
+        given.setdefault(x.block, []).append(x.text)
+    for text in given.values():
+        for name, found in zip(names, count_words("\n".join(text), not truth)):
+            yield from ((name, w) for w in found if w not in printed)
     body, texts = body_of(unmarked(lines))
     for i in range(len(body)):
         m = break_at_end(texts[i])
@@ -618,7 +636,7 @@ def counts(parts: dict[str, DataFrame], truth: bool) -> DataFrame:
 
 
 def space_of(kind: str) -> str:
-    return "prediction" if kind == "prediction" else "scan"
+    return "prediction" if kind in ("prediction", "truth") else "scan"
 
 
 KEYED = "space string, key string, part int, side int, word string, n long, wide boolean"
@@ -655,7 +673,7 @@ def lookup(reads: DataFrame, vocabulary: DataFrame, most: int = MAX_EDITS) -> Da
                     at, words, trie = (space, key, part), {}, None
                 if not side:
                     words[word] = n
-                elif words:
+                elif words and (len(words) > 1 or word not in words):
                     trie = trie or Trie(words)
                     out += [(space, word, n, w, words[w], cost, None if places is None else list(places)) for w, (cost, places) in trie.candidates(word, most, wide).items()]
             yield record_batch(out, FOUND)
@@ -673,10 +691,11 @@ def corpus_answers(counted: DataFrame, truth: bool, heads: DataFrame | None = No
     """``ANSWER`` rows for all questions that have one."""
     of = lambda *kinds: counted.where(F.col("kind").isin(*kinds))
     number = F.length(F.regexp_replace("word", r"\P{Nd}", "")) > F.length(F.regexp_replace("word", r"\p{Nd}", ""))  # and codes: mostly digits
-    words = of("word", "printed").groupBy("space", F.col("asked").alias("word")).agg(F.sum("n").alias("n"))
+    weight = F.when(F.col("kind") == "printed", F.greatest(F.col("n"), F.lit(LEAST))).otherwise(F.col("n"))  # a printed word is known
+    words = of("word", "printed").groupBy("space", F.col("asked").alias("word")).agg(F.sum(weight).alias("n"))
     known = words.where(F.col("n") >= LEAST)
     asked = words.unionByName(of("ask_join").select("space", F.col("asked").alias("word"), F.lit(0).cast("long").alias("n"))).groupBy("space", "word").agg(F.max("n").alias("n"))
-    reads = asked.where((F.length("word") > 1) & ~number).withColumn("wide", (F.col("n") < LEAST) & (F.length("word") > 3))
+    reads = asked.where((F.length("word") > 1) & ~number).withColumn("wide", F.col("n").between(1, LEAST - 1) & (F.length("word") > 3))  # joins that nobody wrote are no words
     cands = lookup(reads, known.where(~number))
     trusted = (F.col("n_read") < LEAST) | (F.col("b.n") >= RATIO * F.col("n_read"))
     by_shape = cands.where("places IS NOT NULL").withColumn("rank", rank())
@@ -695,7 +714,7 @@ def corpus_answers(counted: DataFrame, truth: bool, heads: DataFrame | None = No
     out.append(both.where("n IS NOT NULL OR near IS NOT NULL").select(*row("compound", "word", none, F.coalesce("n", "near"))))
     if truth:  # of a prediction's words all that a ground truth may have in their place
         printed = of("printed").select("space", F.col("asked").alias("word"), "n")
-        said = of("word", "ask_join").where("space = 'prediction'").groupBy("space", F.col("asked").alias("word")).agg(F.max("n").alias("n")).withColumn("wide", F.lit(False))
+        said = of("word", "printed", "ask_join").where("space = 'prediction'").groupBy("space", F.col("asked").alias("word")).agg(F.max("n").alias("n")).withColumn("wide", F.lit(False))
         may = lookup(said, printed).groupBy("space", "read").agg(F.array_sort(F.collect_list(F.struct("word", "places"))).alias("c"))
         out.append(may.select(*row("candidates", "read", none, none, none, F.col("c"))))
     else:  # the word before says which candidate is read, where several are
@@ -705,10 +724,13 @@ def corpus_answers(counted: DataFrame, truth: bool, heads: DataFrame | None = No
         seen = pairs.where(F.col("together") >= LEAST).select("space", F.col("asked").alias("whole"))
         fit = pairs.join(several, ["space", "read"]).withColumn("whole", F.concat_ws(" ", "before", "word")).join(seen, ["space", "whole"])
         out.append(fit.groupBy("space", "asked").agg(F.max_by("word", F.struct("rank", "word")).alias("best")).select(*row("pair", "asked", F.col("best"))))
-        # a character lost, doubled or of another shape: only where no confusion explains an unknown word, and one word does
-        odd = cands.where(F.col("places").isNull() & (F.col("n_read") < LEAST) & (F.col("n") >= RATIO)).join(fixes.select("space", "read"), ["space", "read"], "left_anti")
-        alone = odd.groupBy("space", "read").agg(F.max("word").alias("word"), F.max("n").alias("n"), F.count(F.lit(1)).alias("many")).where("many = 1")
-        out.append(alone.select(*row("word", "read", F.col("word"), F.col("n"), F.array().cast("array<int>"))))
+    # one character of another shape, in a repair also one lost or doubled: only where no confusion explains an unknown word of letters, and one word alone does
+    same = F.length("read") == F.length("word")
+    odd = cands.where(F.col("places").isNull() & F.col("n_read").between(1, LEAST - 1) & (F.col("n") >= RATIO) & F.col("read").rlike(r"^\p{L}+$") & (same if truth else F.lit(True)))
+    odd = odd.join(fixes.select("space", "read"), ["space", "read"], "left_anti")
+    alone = odd.groupBy("space", "read").agg(F.max("word").alias("word"), F.max("n").alias("n"), F.count(F.lit(1)).alias("many")).where("many = 1")
+    apart = F.filter(F.sequence(F.lit(0), F.length("read") - 1), lambda i: F.substring("read", i + 1, 1) != F.substring("word", i + 1, 1))
+    out.append(alone.select(*row("word", "read", F.col("word"), F.col("n"), F.when(same, apart).otherwise(F.array().cast("array<int>")))))
     if heads is not None:
         back = heads.where(F.col("n") >= HEADS).select(F.lit("prediction").alias("space"), F.col("key").alias("word"), "n")
         rare = heads.where(F.col("n") < HEADS).select(F.lit("prediction").alias("space"), F.col("key").alias("word"), "n", F.lit(False).alias("wide"))
@@ -750,7 +772,11 @@ def share(spark: SparkSession, answers: DataFrame, most: int) -> Shared | None:
 def with_answers(df: DataFrame, kind: str, truth: bool, answers: DataFrame) -> DataFrame:
     """The records, each with the answers to its own questions: the way for answers that no task can hold."""
     df = df.withColumn("_row", F.xxhash64(*df.columns))
-    ask = each_row(df, "_row long, asked string", lambda row: {(row["_row"], q) for _, q in questions(kind, row, truth)}).distinct()
+    def asks(row: dict) -> set[tuple[int, str]]:
+        heads = [head_key(x.text) for x in lines_in(kind, row, truth) if "perhaps_head" in x.kinds] if kind == "prediction" else []
+        return {(row["_row"], q) for q in (*(q for _, q in questions(kind, row, truth)), *(truth_words(row["truth"])[0] if kind == "prediction" and truth else ()), *heads)}
+
+    ask = each_row(df, "_row long, asked string", asks).distinct()
     own = ask.join(answers.where(F.col("space") == space_of(kind)).drop("space"), "asked")
     own = own.groupBy("_row").agg(F.collect_list(F.struct("kind", "asked", "printed", "n", "places", "candidates")).alias("_answers"))
     return df.join(own, "_row", "left").drop("_row")
@@ -776,19 +802,20 @@ def _apply(df: DataFrame, kind: str, shared: Shared | None, repair: bool) -> Dat
     return each_row(df, TEXT_ROW if repair else ROW, work)
 
 
-def frames(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The three fields, with only the nested leaves that are used."""
-    from ..sources.tables import nested_table
+def frames(spark: SparkSession, folder: str, once: bool = False) -> dict[str, DataFrame]:
+    """The three fields, with only the nested leaves that are used; ``once``: each delivery once."""
+    from ..sources.tables import first_deliveries, nested_table
 
-    run = nested_table(spark, folder, "payload", ["parsing_run.id", "parsing_run.markdown_text", "parsing_run.page_count", "parsing_run.pages.blocks.content"])
+    run = nested_table(spark, folder, "payload", ["export_id", "parsing_run.id", "parsing_run.markdown_text", "parsing_run.page_count", "parsing_run.pages.blocks.content"])
     contents = F.transform(F.col("parsing_run.pages"), lambda p: F.when(p.isNotNull(), F.transform(p.blocks, lambda b: b.content)))
-    vl = nested_table(spark, folder, "prescription_vl_result", ["result_id", "pages.page_index", "pages.blocks.block_id", "pages.blocks.content"])
-    ev = spark.read.parquet(f"{folder}/sample_evaluations.parquet").select("eval_id", "sample_id", "prediction", "ground_truth")
-    return {
-        "payload_markdown": run.select(F.col("parsing_run.id").alias("record_id"), F.col("parsing_run.markdown_text").alias("text"), F.col("parsing_run.page_count").alias("page_count"), contents.alias("pages")).where(F.col("text").isNotNull()),
-        "vl_content": vl.select(F.col("result_id").alias("record_id"), "pages"),
-        "prediction": ev.select(F.col("eval_id").cast("string").alias("record_id"), F.col("sample_id").alias("sample"), F.col("prediction").alias("text"), F.col("ground_truth").alias("truth")).where(F.col("text").isNotNull()),
+    vl = nested_table(spark, folder, "prescription_vl_result", ["result_id", "received_at", "pages.page_index", "pages.blocks.block_id", "pages.blocks.content"])
+    ev = spark.read.parquet(f"{folder}/sample_evaluations.parquet").select("eval_id", "ingested_at", "sample_id", "prediction", "ground_truth")
+    parts = {
+        "payload_markdown": run.select(F.col("parsing_run.id").alias("record_id"), F.col("export_id").alias("_at"), F.col("parsing_run.markdown_text").alias("text"), F.col("parsing_run.page_count").alias("page_count"), contents.alias("pages")).where(F.col("text").isNotNull()),
+        "vl_content": vl.select(F.col("result_id").alias("record_id"), F.col("received_at").alias("_at"), "pages"),
+        "prediction": ev.select(F.col("eval_id").cast("string").alias("record_id"), F.col("ingested_at").alias("_at"), F.col("sample_id").alias("sample"), F.col("prediction").alias("text"), F.col("ground_truth").alias("truth")).where(F.col("text").isNotNull()),
     }
+    return {k: (first_deliveries(df, "record_id", "_at") if once else df).drop("_at") for k, df in parts.items()}
 
 
 def _noise(spark: SparkSession, folder: str, repair: bool, most: int) -> list[DataFrame]:
@@ -796,12 +823,13 @@ def _noise(spark: SparkSession, folder: str, repair: bool, most: int) -> list[Da
 
     wide_batches(spark)
     checkpoint_root(spark)
-    parts = frames(spark, folder)
+    parts = frames(spark, folder, repair)
     if not repair:  # a prediction of one line that is its ground truth has no line end and no word that is not printed
         parts["prediction"] = parts["prediction"].where(~F.col("text").eqNullSafe(F.col("truth")) | F.col("text").contains("\n"))
     parts = {k: spread(df) for k, df in parts.items()}
     heads = head_keys(parts["prediction"].where(F.col("text").contains("\n")), not repair)
-    answers = corpus_answers(counts(parts, not repair).checkpoint(), not repair, heads).checkpoint()
+    asking = parts if repair else parts | {"truth": parts["prediction"].select(F.col("truth").alias("text")).where(F.col("text").isNotNull()).distinct()}
+    answers = corpus_answers(counts(asking, not repair).checkpoint(), not repair, heads).checkpoint()
     shared = share(spark, answers, most)
     return [_apply(df if shared else with_answers(df, kind, not repair, answers), kind, shared, repair) for kind, df in parts.items()]
 
@@ -812,8 +840,8 @@ def found(spark: SparkSession, folder: str, most: int = ANSWERS) -> DataFrame:
 
 
 def repaired(spark: SparkSession, folder: str, most: int = ANSWERS) -> DataFrame:
-    """The three fields as continuous readable paragraphs; of several deliveries of a text one row, by its key."""
-    return reduce(DataFrame.unionByName, _noise(spark, folder, True, most)).withColumn("_text", F.xxhash64("text")).dropDuplicates(["field", "record_id", "block_id", "_text"]).drop("_text")
+    """The three fields as continuous readable paragraphs."""
+    return reduce(DataFrame.unionByName, _noise(spark, folder, True, most))
 
 
 QUERIES = {"p4_found": found, "p4_repaired": repaired}
