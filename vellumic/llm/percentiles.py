@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import first_deliveries
 from . import qdigest
 
 EPS = 0.005
@@ -16,10 +17,8 @@ LEVELS = {"style": ("metric", "style_category"), "style_day": ("metric", "style_
 
 def readings(spark: SparkSession, folder: str) -> DataFrame:
     """One row per evaluation and metric; an evaluation that was delivered twice counts once."""
-    df = spark.read.parquet(f"{folder}/sample_evaluations.parquet")
-    once = df.groupBy("eval_id").agg(
-        F.first("style_category").alias("style_category"), F.first("model_identifier").alias("model_identifier"), F.first(F.to_date("evaluated_at")).alias("day"), F.first("latency_sec").alias("latency_sec"), F.first("cer").alias("cer")
-    )
+    df = spark.read.parquet(f"{folder}/sample_evaluations.parquet").select("eval_id", "ingested_at", "style_category", "model_identifier", F.to_date("evaluated_at").alias("day"), "latency_sec", "cer")
+    once = first_deliveries(df, "eval_id", "ingested_at")
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("latency_sec", "cer")]))
     return once.select("style_category", "model_identifier", "day", pairs.alias("r")).select("style_category", "model_identifier", "day", "r.metric", "r.value")
 

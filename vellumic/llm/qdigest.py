@@ -14,8 +14,8 @@ closer to zero than ``TINY`` count as zero and those beyond ``TINY * GAMMA ** HA
 Defined results: null and NaN values are counted apart and are in no percentile; negative and infinite
 readings are values like others; a null group is a group; ties share a cell; an empty group has no row.
 
-Scale: rows are reduced map-side to counts per (group, cell) before any shuffle; a group then has at
-most ``2**BITS`` rows however large or hot it is, a digest at most about ``3 * k`` nodes.
+Scale: each task makes digests of the rows it holds, and only these are shuffled, a row for each group and task; a
+digest has at most about ``3 * k`` nodes however large or hot its group is.
 """
 
 from __future__ import annotations
@@ -88,10 +88,10 @@ def compress_nodes(gid: np.ndarray, node: np.ndarray, cnt: np.ndarray, k: int) -
     return key >> SPAN, key & ((1 << SPAN) - 1), cnt
 
 
-def _each_group(rows: DataFrame, group: Sequence[str], schema: T.StructType, work: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, list[np.ndarray]]]) -> DataFrame:
+def _each_group(rows: DataFrame, group: Sequence[str], schema: T.StructType, work: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, list[np.ndarray]]], together: bool = False) -> DataFrame:
     """``work(gid, node, cnt) -> (gid, columns)`` over whole groups, many of them in one call.
 
-    Rows are hash-partitioned and sorted by group, so that a batch holds whole groups but for its last
+    Rows are hash-partitioned and sorted by group (unless they are so already: ``together``), so that a batch holds whole groups but for its last
     one, which waits for the next batch; no more than one batch and one group are held at a time.
     """
 
@@ -119,6 +119,8 @@ def _each_group(rows: DataFrame, group: Sequence[str], schema: T.StructType, wor
         if held is not None and held.num_rows:
             yield from emit(held, _starts(held, group))
 
+    if together:
+        return rows.select(*group, "node", "cnt").mapInArrow(run, schema)
     order = [F.col(g).asc_nulls_first() for g in group]
     return rows.repartition(*group).sortWithinPartitions(*order).select(*group, "node", "cnt").mapInArrow(run, schema)
 
@@ -134,21 +136,54 @@ def _starts(table: pa.Table, group: Sequence[str]) -> np.ndarray:
     return start
 
 
-def _compressed(rows: DataFrame, group: Sequence[str], k: int) -> DataFrame:
+def _compressed(rows: DataFrame, group: Sequence[str], k: int, together: bool = False) -> DataFrame:
     schema = T.StructType([*[rows.schema[g] for g in group], T.StructField("node", T.LongType()), T.StructField("cnt", T.LongType())])
 
     def work(gid: np.ndarray, node: np.ndarray, cnt: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         gid, node, cnt = compress_nodes(gid, node, cnt, k)
         return gid, [node, cnt]
 
-    return _each_group(rows, group, schema, work)
+    return _each_group(rows, group, schema, work, together)
+
+
+def _local(rows: DataFrame, group: Sequence[str], k: int) -> DataFrame:
+    """Digests of what each task holds: one row per group with its nodes and counts as arrays, so that a shuffle carries each group's name once."""
+    schema = T.StructType([*[rows.schema[g] for g in group], *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("nodes", "cnts")]])
+    keys = [*group, "node"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = to_arrow_schema(schema)
+
+        def added(tables: list[pa.Table]) -> pa.Table:
+            return pa.concat_tables(tables).group_by(keys).aggregate([("cnt", "sum")]).rename_columns([*keys, "cnt"])
+
+        held: list[pa.Table] = []
+        for batch in batches:
+            one = pa.Table.from_batches([batch])
+            held.append(one.append_column("cnt", pa.array(np.ones(one.num_rows, np.int64))))
+            if sum(t.num_rows for t in held) > 2_000_000:
+                held = [added(held)]
+        total = added(held) if held else None
+        if total is None or not total.num_rows:
+            return
+        total = total.sort_by([(g, "ascending") for g in group])
+        start = _starts(total, group)
+        gid, node, cnt = compress_nodes(np.cumsum(start) - 1, total.column("node").to_numpy(), total.column("cnt").to_numpy(), k)
+        order = np.argsort(gid, kind="stable")
+        offsets = pa.array(np.r_[0, np.cumsum(np.bincount(gid, minlength=int(start.sum())))], pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (node, cnt)]
+        names = total.select(list(group)).take(pa.array(np.flatnonzero(start)))
+        yield from pa.table([*names.columns, *lists], names=target.names).cast(target).to_batches(max_chunksize=2000)
+
+    return rows.select(*keys).mapInArrow(run, schema)
 
 
 def build(df: DataFrame, group: Sequence[str], value: str, eps: float = 0.005) -> DataFrame:
     """Digest rows ``(*group, node, cnt)`` of a double column; null and NaN values are left out."""
     x = F.col(value)
-    leaves = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*group, (cell_of(x) + (1 << BITS)).cast("long").alias("node")).agg(F.count(F.lit(1)).alias("cnt"))
-    return _compressed(leaves, group, factor(eps))
+    cells = df.where(x.isNotNull() & ~F.isnan(x)).select(*group, (cell_of(x) + (1 << BITS)).cast("long").alias("node"))
+    parts = _local(cells, group, factor(eps)).repartition(*group).sortWithinPartitions(*[F.col(g).asc_nulls_first() for g in group])
+    return _compressed(parts.select(*group, F.inline(F.arrays_zip(F.col("nodes").alias("node"), F.col("cnts").alias("cnt")))), group, factor(eps), together=True)
 
 
 def merge(digests: DataFrame, group: Sequence[str], eps: float = 0.005) -> DataFrame:
