@@ -265,7 +265,7 @@ def edges(pages: list[list[str]]) -> list[set[tuple[str, str]]]:
 
 
 def repeated_heads(per_page: list[set[tuple[str, str]]], least: int = 2) -> list[str]:
-    """Keys that stand at one place of several pages, and of a good part of the pages with text."""
+    """Keys that stand at one place of several pages."""
     groups: list[tuple[str, str, set[int]]] = []
     for i, found in enumerate(per_page):
         for place, key in found:
@@ -277,8 +277,7 @@ def repeated_heads(per_page: list[set[tuple[str, str]]], least: int = 2) -> list
                     break
             else:
                 groups.append((place, key, {i}))
-    filled = sum(1 for found in per_page if found)
-    return [k for _, k, seen in groups if len(seen) >= max(least, 0.4 * filled)]
+    return [k for _, k, seen in groups if len(seen) >= least]
 
 
 def mark_furniture(lines: list[Line], heads: list[str]) -> None:

@@ -40,6 +40,20 @@ def percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return qdigest.quantiles(qdigest.merge(spread, group, EPS), group, PROBABILITIES, EPS)
 
 
+def bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Per metric and style the readings, and whether every reported percentile lies within the guaranteed rank error of the exact rank."""
+    told = percentiles(spark, folder).where("level = 'style'").select(F.col("metric").alias("_m"), F.col("style_category").alias("_s"), F.col("n").alias("_n"), *[f"p{p * 100:g}" for p in PROBABILITIES])
+    v = F.col("value")
+    rows = readings(spark, folder).where(v.isNotNull() & ~F.isnan(v)).join(told, (F.col("metric") == F.col("_m")) & F.col("style_category").eqNullSafe(F.col("_s")))
+    margin = lambda c: F.abs(c) * 1.1 * qdigest.ALPHA + 2 * qdigest.TINY  # noqa: E731  # a cell's width
+    edges = {p: (F.col(f"p{p * 100:g}") - margin(F.col(f"p{p * 100:g}")), F.col(f"p{p * 100:g}") + margin(F.col(f"p{p * 100:g}"))) for p in PROBABILITIES}
+    own = rows.groupBy("metric", "style_category").agg(F.count(F.lit(1)).alias("n"), F.max("_n").alias("_n"), *[F.count_if(v < edges[p][0]).alias(f"_below{i}") for i, p in enumerate(PROBABILITIES)], *[F.count_if(v <= edges[p][1]).alias(f"_upto{i}") for i, p in enumerate(PROBABILITIES)])
+    within = F.col("n") == F.col("_n")
+    for i, p in enumerate(PROBABILITIES):
+        within = within & (F.col(f"_upto{i}") >= p * F.col("n") - EPS * F.col("n") - 1) & (F.col(f"_below{i}") <= p * F.col("n") + EPS * F.col("n") + 1)
+    return own.select("metric", "style_category", "n", within.alias("within"))
+
+
 def counts(spark: SparkSession, folder: str) -> DataFrame:
     """Per metric and style: readings, and those that are null, NaN or negative."""
     v = F.col("value")
@@ -49,10 +63,11 @@ def counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _ONE = "SELECT DISTINCT ON (eval_id) eval_id, style_category, {m} AS value, '{m}' AS metric FROM sample_evaluations"
-QUERIES = {"p2_day_digests": day_digests, "p2_percentiles": percentiles, "p2_counts": counts}
+QUERIES = {"p2_day_digests": day_digests, "p2_percentiles": percentiles, "p2_counts": counts, "p2_bounds": bounds}
 SQL = {
     "p2_counts": (
         "SELECT metric, style_category, count(*) AS n_rows, count(*) FILTER (WHERE value IS NULL) AS n_null, count(*) FILTER (WHERE isnan(value)) AS n_nan, count(*) FILTER (WHERE NOT isnan(value) AND value < 0) AS n_negative "
         f"FROM (({_ONE.format(m='latency_sec')}) UNION ALL ({_ONE.format(m='cer')})) GROUP BY metric, style_category"
-    )
+    ),
+    "p2_bounds": f"SELECT metric, style_category, count(*) AS n, true AS within FROM (({_ONE.format(m='latency_sec')}) UNION ALL ({_ONE.format(m='cer')})) WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY metric, style_category",
 }
