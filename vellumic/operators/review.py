@@ -56,9 +56,13 @@ def next_open(regions: DataFrame, by: list[str], order: str, open_: Column) -> D
     return regions.join(two, by).withColumn("next_open", F.get(F.filter("_two", lambda r: r != F.col(order)), F.lit(0))).drop("_two")
 
 
+#: What the audit trail says was done.
+EDITED, ILLEGIBLE, ACCEPTED = "Manual transcript edit", "Marked illegible", "Accepted alternative"
+
+
 def audit_rows(edits: DataFrame, illegible: Column) -> DataFrame:
     """A row for every edit that was taken (see ``revision_fold``): what was done, by its number and revision. A null region is the whole transcript."""
-    action = F.when(F.col("region").isNull(), "Manual transcript edit").when(illegible, "Marked illegible").otherwise("Accepted alternative")
+    action = F.when(F.col("region").isNull(), EDITED).when(illegible, ILLEGIBLE).otherwise(ACCEPTED)
     return edits.where("accepted").select("doc", "seq", "revision", "region", action.alias("action"))
 
 

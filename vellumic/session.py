@@ -39,10 +39,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that all executors share. Only a local session, which is one machine, gets a folder of its own where none is named."""
+    """The folder that all executors share. Only a session on one machine gets a folder of its own where none is named."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
