@@ -52,6 +52,7 @@ _MARKS = tuple(BREAKS)
 
 LEAST = 3  # occurrences of a vocabulary word
 RATIO = 40  # a vocabulary word so much rarer than a candidate is a misreading of it, too
+RATIO_READ = 20  # the same among predictions, which are read worse
 MAX_EDITS = 3
 PLAIN = 2  # cost of an edit that is no confusion
 PROSE = 4  # words of a line that is neither furniture nor table
@@ -500,6 +501,8 @@ def prediction_lines(prediction: str, truth: str | None, answers: Answers | None
             if PAGE_NUMBER.match(text):
                 x.kinds.add("page_number")
             elif x in (filled[0], filled[-1]) and len(head_key(x.text).split()) >= 3 and sum(t in words for t in tokens) < 0.5 * len(tokens):
+                if truth is None and (not any(t.isdigit() for t in tokens) or break_at_end(text) or x is not filled[0] and break_at_end(plain(filled[-2].text))):
+                    continue  # nothing says what is printed: a head has a number, and no word runs on into it or out of it
                 x.kinds.add("running_head" if answers and head_key(x.text) in answers.heads else "perhaps_head")
     return lines
 
@@ -696,7 +699,8 @@ def corpus_answers(counted: DataFrame, truth: bool, heads: DataFrame | None = No
     asked = words.unionByName(of("ask_join").select("space", F.col("asked").alias("word"), F.lit(0).cast("long").alias("n"))).groupBy("space", "word").agg(F.max("n").alias("n"))
     reads = asked.where((F.length("word") > 1) & ~number).withColumn("wide", F.col("n").between(1, LEAST - 1) & (F.length("word") > 3))  # joins that nobody wrote are no words
     cands = lookup(reads, known.where(~number))
-    trusted = (F.col("n_read") < LEAST) | (F.col("b.n") >= RATIO * F.col("n_read"))
+    ratio = F.when(F.col("space") == "prediction", RATIO_READ).otherwise(RATIO)
+    trusted = (F.col("n_read") < LEAST) | (F.col("b.n") >= ratio * F.col("n_read"))
     by_shape = cands.where("places IS NOT NULL").withColumn("rank", rank())
     fixes = by_shape.groupBy("space", "read", "n_read").agg(F.max(F.struct("rank", "word", "n", "places")).alias("b")).where(trusted)
     none = F.lit(None)
