@@ -179,7 +179,7 @@ class Answers:
         """The printed word and the places of its misread characters, or None if the word stands."""
         if len(read) < 2 or read.isdigit():
             return None
-        got = number_of(read) or self.fixes.get(read)
+        got = self.fixes.get(read) if read.isalpha() else number_of(read) or self.fixes.get(read)
         return got and (self.pairs.get(f"{before} {read}", got[0]), got[1])
 
     @classmethod
@@ -365,23 +365,23 @@ def mark_words(lines: list[Line], answers: Answers) -> None:
                     x.kinds.add("misread")
                 if any(p >= len(head) for p in places):
                     after.kinds.add("misread")
-    for x, text, before, read in words_of(body, texts, skip):
+    for x, before, read in words_of(body, texts, skip):
         got = answers.misread(read.casefold(), before)
         if got:
             x.kinds.add("misread")
             x.fixes.append((read, got[0]))
 
 
-def words_of(body: list[Line], texts: list[str], skip: dict[int, int]) -> Iterator[tuple[Line, str, str, str]]:
-    """(line, its text, the word before in it, word), without the parts of broken words."""
+def words_of(body: list[Line], texts: list[str], skip: dict[int, int]) -> Iterator[tuple[Line, str, str]]:
+    """(line, the word before in it, word), without the parts of broken words."""
     for i, x in enumerate(body):
         text = texts[i]
         if i in skip:
             text = text[len(text) - len(text.lstrip()) + skip[i] :]
         before = ""
-        for m in WORD.finditer(text):
-            yield x, text, before, m[0]
-            before = m[0].casefold()
+        for word in WORD.findall(text):
+            yield x, before, word
+            before = word.casefold()
 
 
 BROKEN_PARTS = re.compile(rf"(?<![^\W_])(?:[^\W_]+-)*[^\W\d_]+[{BREAKS}][^\S\n]*\n\s*[^\W_]*")
@@ -525,7 +525,7 @@ def mark_prediction(lines: list[Line], truth: str, answers: Answers) -> None:
     for x in body:
         if x.joins:
             read.append(((x.joins[1] + x.joins[2]).casefold(), [(x, 0), (x.joins[0], len(x.joins[1]))]))
-    read += [(w.casefold(), [(x, 0)]) for x, _, _, w in words_of(body, texts, skip)]
+    read += [(w.casefold(), [(x, 0)]) for x, _, w in words_of(body, texts, skip)]
     _mark_missing(read, truth, answers)
 
 
@@ -582,18 +582,18 @@ def lines_in(kind: str, row: dict, truth: bool, answers: Answers | None = None)
     return prediction_lines(row["text"], row["truth"] if truth else None, answers)
 
 
-def questions(kind: str, row: dict, truth: bool) -> Iterator[tuple[str, str]]:
-    """What a record counts for and asks: (kind, string). ``truth``: whether ground truths may be looked at."""
+def questions(kind: str, row: dict, truth: bool) -> Iterator[tuple[str, list[str]]]:
+    """What a record counts for and asks: a kind and strings. ``truth``: whether ground truths may be looked at."""
     if kind == "truth":
         words, compounds, _ = count_words(row["text"], False)
-        yield from (("printed", w) for w in words)
-        yield from (("compound", w) for w in compounds)
+        yield "printed", words
+        yield "compound", compounds
         return
     printed = truth_words(row["truth"])[0] if kind == "prediction" and truth else {}
     names = ("word", "compound") if truth else ("word", "compound", "pair")  # pairs are for the best candidate only
     if kind == "prediction" and "\n" not in row["text"]:  # one line: no furniture and no word is split
         for name, found in zip(names, count_words(row["text"], not truth)):
-            yield from ((name, w) for w in found if w not in printed)
+            yield name, [w for w in found if w not in printed] if printed else found
         return
     lines = lines_in(kind, row, truth)
     given: dict[str, list[str]] = {}
@@ -601,14 +601,14 @@ def questions(kind: str, row: dict, truth: bool) -> Iterator[tuple[str, str]]:
         given.setdefault(x.block, []).append(x.text)
     for text in given.values():
         for name, found in zip(names, count_words("\n".join(text), not truth)):
-            yield from ((name, w) for w in found if w not in printed)
+            yield name, [w for w in found if w not in printed] if printed else found
     body, texts = body_of(unmarked(lines))
     for i in range(len(body)):
         m = break_at_end(texts[i])
         if m:
-            for _, _, joined, compound in continuations(body, texts, i, m):
-                yield "ask_join", joined
-                yield "ask_compound", compound
+            asked = list(continuations(body, texts, i, m))
+            yield "ask_join", [x[2] for x in asked]
+            yield "ask_compound", [x[3] for x in asked]
 
 
 COUNTED = "space string, kind string, asked string, n long"
@@ -621,15 +621,21 @@ def counts(parts: dict[str, DataFrame], truth: bool) -> DataFrame:
         space = space_of(kind)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: Counter = Counter()
+            sums: dict[str, Counter] = {}
+
+            def flush() -> pa.RecordBatch:
+                rows = [(space, name, w, n) for name, c in sums.items() for w, n in c.items()]
+                sums.clear()
+                return record_batch(rows, COUNTED)
+
             for batch in batches:
                 for start in range(0, batch.num_rows, 1000):
                     for row in batch.slice(start, 1000).to_pylist():
-                        sums.update(questions(kind, row, truth))
-                if len(sums) > 300_000:
-                    yield record_batch([(space, *k, n) for k, n in sums.items()], COUNTED)
-                    sums.clear()
-            yield record_batch([(space, *k, n) for k, n in sums.items()], COUNTED)
+                        for name, strings in questions(kind, row, truth):
+                            sums.setdefault(name, Counter()).update(strings)
+                if sum(map(len, sums.values())) > 300_000:
+                    yield flush()
+            yield flush()
 
         return df.mapInArrow(run, COUNTED)
 
@@ -777,7 +783,7 @@ def with_answers(df: DataFrame, kind: str, truth: bool, answers: DataFrame) -> D
     df = df.withColumn("_row", F.xxhash64(*df.columns))
     def asks(row: dict) -> set[tuple[int, str]]:
         heads = [head_key(x.text) for x in lines_in(kind, row, truth) if "perhaps_head" in x.kinds] if kind == "prediction" else []
-        return {(row["_row"], q) for q in (*(q for _, q in questions(kind, row, truth)), *(truth_words(row["truth"])[0] if kind == "prediction" and truth else ()), *heads)}
+        return {(row["_row"], q) for q in (*(q for _, x in questions(kind, row, truth) for q in x), *(truth_words(row["truth"])[0] if kind == "prediction" and truth else ()), *heads)}
 
     ask = each_row(df, "_row long, asked string", asks).distinct()
     own = ask.join(answers.where(F.col("space") == space_of(kind)).drop("space"), "asked")
