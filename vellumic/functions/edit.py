@@ -53,7 +53,6 @@ def char_script(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else [dict(zip(("op", "pos_a", "pos_b", "item_a", "item_b"), s)) for s in script(x, y)] for x, y in zip(a, b)])
 
 
-AGAINST = T.ArrayType(T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("added", T.ArrayType(T.StringType()))]))
 SCRIPTS = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("steps", OP)]))
 
 
@@ -73,15 +72,36 @@ def placed(a: Sequence[str], b: Sequence[str]) -> tuple[list[str | None], list[s
     return words, added
 
 
-@pandas_udf(AGAINST)
-def against_first(texts: pd.Series) -> pd.Series:
-    """Normalized texts of a region: every further one against the first, null for those equal to it."""
+#: Signs that no normalized text holds: they count as blanks. Plain strings pass between the JVM and Python far faster than nested rows.
+READING, ADDED, GAP = "\x1e", "\x1d", "\x1f"
 
-    def row(given: Sequence[str]) -> list[dict | None]:
-        first = given[0].split()
-        return [None if t == given[0] else dict(zip(("words", "added"), placed(first, t.split()))) for t in given[1:]]
 
-    return pd.Series([None if x is None else row(x) for x in texts], dtype=object)
+@pandas_udf(T.StringType())
+def _against_first(texts: pd.Series) -> pd.Series:
+    def row(given: str) -> str:
+        first, *others = given.split(READING)
+        own = first.split()
+        out = []
+        for other in others:
+            if other == first:
+                out.append("")
+                continue
+            words, added = placed(own, other.split())
+            out.append(f"{' '.join(GAP if w is None else w for w in words)}{ADDED}{' '.join(added)}")
+        return READING.join(out)
+
+    return texts.map(row, na_action="ignore")
+
+
+def against_first(texts: Column) -> Column:
+    """Normalized texts of a region: of every further one its words at the places of the first (null: none) and those it adds; null for one equal to the first."""
+    parts = lambda text: F.filter(F.split(text, " "), lambda w: w != "")
+
+    def read(told: Column) -> Column:
+        both = F.split(told, ADDED)
+        return F.when(told != "", F.struct(F.transform(parts(F.get(both, F.lit(0))), lambda w: F.nullif(w, F.lit(GAP))).alias("words"), parts(F.get(both, F.lit(1))).alias("added")))
+
+    return F.transform(F.split(_against_first(F.array_join(texts, READING)), READING), read)
 
 
 @pandas_udf(SCRIPTS)
