@@ -32,3 +32,15 @@ def test_summary_counts_the_alignment(spark, sf):
         counted[doc] = counted.get(doc, 0) + (block is not None)
     summary = {x.doc: x for x in P.fusion_summary(spark, sf).collect()}
     assert {k: x.matched for k, x in summary.items()} == counted
+
+
+def test_unfit_tells_both_sides_in_one_pass(spark, sf):
+    """Page 0: a pair and a block too far off; page 1: regions only; page 2: a block only; a null page: nothing fits."""
+    r = put(spark, [(0, 0, (10, 10, 20, 5), "a"), (1, 1, (40, 5, 4, 4), "b"), (1, 2, (45, 6, 4, 4), "c"), (None, 3, (10, 10, 20, 5), "a")], "region")
+    b = put(spark, [(0, 0, (10, 10, 20, 5), "a"), (0, 1, (90, 90, 5, 5), "z"), (2, 2, (0, 0, 5, 5), "d"), (None, 3, (10, 10, 20, 5), "a")], "block").withColumn("reading_order", F.lit(1))
+    want = {(0, 1, "block"), (1, 1, "region"), (1, 2, "region"), (2, 2, "block"), (None, 3, "region"), (None, 3, "block")}
+    rows = [(x.page, x.id, x.side) for x in A.unfit(r, b).collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert {x.side for x in A.unfit(r.limit(0), b).collect()} == {"block"} and {x.side for x in A.unfit(r, b.limit(0)).collect()} == {"region"}
+    plan = P.gated_unmatched(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Window [") == 2  # regions and blocks are made once each, their pairs once

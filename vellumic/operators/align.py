@@ -138,6 +138,11 @@ class _Pages:
                 out += [low + i for i in _assigned(self.cost[low : low + size].reshape(-1, blocks), cfg, optimal)]
         return np.array(out, np.int64)
 
+    def left_over(self, used_r: np.ndarray, used_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A pair of each region and of each block that is not used."""
+        free_r, free_b = (np.unique(c, return_index=True)[1] for c in (self.region, self.block))
+        return free_r[self.has_region[free_r] & ~used_r[self.region[free_r]]], free_b[self.has_block[free_b] & ~used_b[self.block[free_b]]]
+
 
 def _each_batch(pairs: DataFrame, fields: list[T.StructField], cfg: AlignConfig, work: Callable[[_Pages], tuple[np.ndarray, dict[str, np.ndarray]]]) -> DataFrame:
     """``work`` says which pairs of a batch of pages stay, and gives the values of further columns."""
@@ -175,6 +180,24 @@ def assign_greedy(regions: DataFrame, blocks: DataFrame, cfg: AlignConfig = ALIG
     return _assign(regions, blocks, cfg, False)
 
 
+def unfit(regions: DataFrame, blocks: DataFrame, cfg: AlignConfig = ALIGN) -> DataFrame:
+    """``doc, page, id, side``: regions for which no block of their page is cheap enough, and blocks for which no region is.
+
+    Both sides are told from one pass over the pairs. On a null page or document nothing fits.
+    """
+
+    def work(page: _Pages) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        fit = page.cost <= cfg.most_cost
+        used_r, used_b = ~np.ones(page.n_regions, bool), ~np.ones(page.n_blocks, bool)
+        used_r[page.region[fit]], used_b[page.block[fit]] = True, True
+        parts = page.left_over(used_r, used_b)
+        return np.concatenate(parts), {"status": np.repeat(np.array(STATUS[2:], object), [len(p) for p in parts])}
+
+    pairs = _pairs(regions, blocks, cfg, True).withColumn("cost", F.when(F.col("doc").isNotNull() & F.col("page").isNotNull(), F.col("cost")))
+    rows = _each_batch(pairs, [T.StructField("status", T.StringType())], cfg, work)
+    return rows.select(*PAGE, F.coalesce("region", "block").alias("id"), F.replace("status", F.lit("unmatched_"), F.lit("")).alias("side"))
+
+
 def contained(regions: DataFrame, blocks: DataFrame) -> DataFrame:
     """Each region with the first block that holds its centre."""
     each = pages(regions, blocks).select(*PAGE, "bs", F.explode("rs").alias("r"))
@@ -196,9 +219,7 @@ def align(regions: DataFrame, blocks: DataFrame, cfg: AlignConfig = ALIGN) -> Da
         rest = np.flatnonzero(page.inside & ~used_r[page.region] & ~used_b[page.block])
         many = rest[np.unique(page.region[rest], return_index=True)[1]]  # the first block that holds a region
         used_r[page.region[many]], used_b[page.block[many]] = True, True
-        free_r, free_b = (np.unique(c, return_index=True)[1] for c in (page.region, page.block))  # a pair of each
-        free_r = free_r[page.has_region[free_r] & ~used_r[page.region[free_r]]]
-        free_b = free_b[page.has_block[free_b] & ~used_b[page.block[free_b]]]
+        free_r, free_b = page.left_over(used_r, used_b)
         parts = [one, many, free_r, free_b]
         none = np.full(len(free_r) + len(free_b), np.nan)
         status = np.repeat(np.array(STATUS, object), [len(p) for p in parts])

@@ -49,10 +49,7 @@ def unmatched(side: str):
 
 def gated_unmatched(s: SparkSession, d: str) -> DataFrame:
     """Regions for which no block passes the gate and the limit of cost, and the same for blocks."""
-    fit = _pairs(s, d).where(F.col("cost") <= 0.85)
-    r = V.regions(s, d).join(fit, ["doc", "page", "region"], "left_anti").select("doc", "page", F.col("region").alias("id"), F.lit("region").alias("side"))
-    b = V.blocks(s, d).join(fit, ["doc", "page", "block"], "left_anti").select("doc", "page", F.col("block").alias("id"), F.lit("block").alias("side"))
-    return r.unionByName(b)
+    return A.unfit(V.regions(s, d), V.blocks(s, d))
 
 
 def matched_regions(s: SparkSession, d: str) -> DataFrame:
