@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from vellumic.llm import leakage as L
+from vellumic.llm import ocr_noise as N
 
 ITEM = "Before anyone woke, the glazier returned a tin whistle with both hands. As the bells stopped, my aunt carried the spare key much too late, and old Brannoch forgot the lantern."
 PAD = "Rain spoiled the plough before the soil could be cut. " * 5
@@ -141,3 +142,33 @@ def test_spark(spark):
     assert L.scan(docs, spark.createDataFrame([(1, None), (2, "...")], "item_id long, text string"), "doc_id", "text", "item_id", "text").count() == 0
     assert L.scan(docs, held.limit(0), "doc_id", "text", "item_id", "text").count() == 0
     assert L.scan(docs.limit(0), held, "doc_id", "text", "item_id", "text").count() == 0
+
+
+MISREAD = ITEM.replace("woke", "w0ke").replace("glazier", "g1azier").replace("whistle", "vvhist1e").replace("hands", "bands").replace("bells", "be11s").replace("carried", "carrled").replace("key", "kev").replace("late", "1ate").replace("old", "o1d").replace("lantern", "lantem")
+CUT = " ".join(WORDS[:9]) + " tin vvhis-\nThe Harbour Book\nt1e " + " ".join(WORDS[10:20])
+
+
+def test_results_are_the_same_however_many_words_the_items_have(spark):
+    """Misread in every third word; a word of another item where one of its own stands; a word cut by a head; a text twice."""
+    items = [(7, ITEM), (8, "Thirty brass bands marched over the river bridge singing loudly until every last lamp was out."), (9, "lantem"), (10, "tin"), (11, "x y")]
+    docs = [(1, PAD + MISREAD + " " + PAD), (2, PAD + ITEM.replace("both hands", "both bands")), (3, PAD + CUT + "\n" + PAD), (4, PAD + CUT + "\n" + PAD), (5, MISREAD + " " + MISREAD), (6, None), (7, PAD), (8, "x v"), (9, "a lantem, a t1n")]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
+
+    def rows(**most):
+        return sorted(tuple(r) for r in L.scan(docs, items, "doc_id", "text", "item_id", "item_text", **most).collect())
+
+    want = rows()
+    found = {r[:2] for r in want}
+    assert {(1, 7), (2, 7), (3, 7), (4, 7), (5, 7), (9, 9), (9, 10)} <= found and not any(d in (6, 7) for d, _ in found)
+    assert rows(most_words=3) == want and rows(most_seeds=2) == want and rows(most_words=3, most_seeds=2) == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sampled_from(sorted({*WORDS, "minimum", "quill", "clod"})), st.randoms())
+def test_confusions_leave_the_outline(word, rng):
+    """So a misread word and the word it stands for meet in one shard."""
+    word = read = word.lower()
+    for _ in range(L.EDITS):
+        printed, as_read = rng.choice(N.CONFUSIONS)
+        read = read.replace(printed, as_read, 1)
+    assert N.outline(read) == N.outline(word)
